@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.keyword_spam import keyword_spam
 from granary.llm.leakage import leaked_items, without_leaks
+from granary.llm.mixing import cube_mix, mix_report, sized_documents
 from granary.llm.qa_defects import defective_pairs
 from granary.llm.scan_noise import repaired_texts, scan_noise
+from granary.plans.lineage import materialize
 from granary.sources.tables import table
 
 
@@ -43,6 +45,19 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _leaks(spark, d))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(sized_documents(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return cube_mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mix_report(sized, targets, cube_mix(sized, targets))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return keyword_spam(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id").distinct()
 
@@ -57,6 +72,8 @@ QUERIES = {
     "p6_repaired": (p6_repaired, None),
     "p7_found": (p7_found, None),
     "p7_cleaned": (p7_cleaned, None),
+    "p8_mix": (p8_mix, None),
+    "p8_report": (p8_report, None),
     "p9_found": (p9_found, None),
     "p9_reasons": (p9_reasons, None),
 }

@@ -74,7 +74,7 @@ CONFUSIONS: tuple[tuple[str, str], ...] = (
 )
 _RAW = re.compile(r"\S+")
 _TRIM = re.compile(r"^[\"'“‘\[{«*_]+|[\"'”’\]}»*_.,;:?…]+$")
-_DIGIT_INSIDE = re.compile(r"[a-zà-ÿ][01569|!($@][a-z]")
+_DIGIT_INSIDE = re.compile(r"[^\W\d_][01569|!($@][a-z]")
 _CODE = re.compile(r"[/_.:#=<>]")
 _AS_LETTERS = str.maketrans("01569|!($@", "olsbgllcsa")
 _PUNCTUATION = "\"'“”‘’.,;:?…«»*"
