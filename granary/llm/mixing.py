@@ -5,8 +5,8 @@ document, once more with probability m - floor(m). These inclusion probabilities
 constraints (tokens and documents of the source) until they are 0 or 1: a flight takes three undecided
 documents, whose constraints leave one direction, and moves along it, up or down at random in
 proportion, until one of them is decided, so both totals stay as they were. Flights run in blocks of documents of one source; the
-two that each block leaves undecided fly together in the next round. At last two of a source are
-left: they land by giving up the constraint on tokens, then that on documents.
+two that each block leaves undecided fly together in the next round. The last flight of a source spares a dozen
+documents: of the ways to decide these few, the one nearest to both totals is taken.
 
 A hot source has more blocks, not larger ones, and a block is all that a task holds. The driver sees one row a target.
 """
@@ -25,6 +25,8 @@ from granary.llm.tokenizer import VOCABULARY, with_token_counts
 from granary.plans.lineage import materialize
 
 BLOCK = 2_000
+#: So many documents of a source, drawn at random, and the two that the last flight leaves make up its landing problem.
+LANDING = 10
 _EPS = 1e-9
 
 
@@ -38,6 +40,8 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator, land: bo
     scale = max(1.0, float(tokens.max(initial=1)))
     x = tokens / scale
     active: list[int] = []
+    held = [waiting.pop(rng.integers(len(waiting))) for _ in range(min(LANDING, len(waiting)))] if land else []
+    expected = float(p @ x), float(p.sum())
     while True:
         while len(active) < 3 and waiting:
             active.append(waiting.pop())
@@ -46,13 +50,8 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator, land: bo
             u = np.array([b - c, c - a, a - b])
             if np.abs(u).max() < 1e-15:  # of one size: any direction that keeps the count
                 u = np.array([1.0, -1.0, 0.0])
-        elif land and len(active) == 2:
-            u = np.array([1.0, -1.0])
-        elif land and len(active) == 1:
-            p[active[0]] = float(rng.random() < p[active[0]])
-            return p
         else:
-            return p
+            return _landed(p, x, [*active, *held], expected) if land else p
         at = p[active]
         with np.errstate(divide="ignore", invalid="ignore"):
             up = np.where(u > 0, (1 - at) / u, np.where(u < 0, -at / u, np.inf)).min()
@@ -64,6 +63,17 @@ def flight(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator, land: bo
         active = [i for i in active if 0 < p[i] < 1]
 
 
+def _landed(p: np.ndarray, x: np.ndarray, left: list[int], expected: tuple[float, float]) -> np.ndarray:
+    """Of all ways to decide the few that are left, the one whose totals come nearest to the expected ones."""
+    if left:
+        ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        p[left] = 0
+        size = max(float(x[left].mean()), 1e-12)
+        off = np.abs(p @ x + ways @ x[left] - expected[0]) / size + np.abs(p.sum() + ways.sum(axis=1) - expected[1])
+        p[left] = ways[int(np.argmin(off))]
+    return p
+
+
 def _targets(targets: DataFrame) -> DataFrame:
     """One row a source, compared without case and padding; repeated targets add up. Null sources and shares are left out."""
     t = targets.select(F.lower(F.trim("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
