@@ -35,6 +35,8 @@ from granary.plans.lineage import materialize
 
 SAMPLE = 8192
 PROJECTIONS = 32
+#: A query visits the cells within this share of the sample's nearest distance around its projection.
+WINDOW = 0.8
 #: A window is widened by this factor.
 WIDER = 1.4
 #: Beyond this share of verified pairs one matrix product is cheaper than single products.
@@ -165,7 +167,7 @@ def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.nda
     return np.concatenate(out_q or [np.array([], int)]), np.concatenate(out_x or [np.array([], int)]), np.concatenate(out_c or [np.array([])])
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 4096, tables: int = 4, seed: int = 7) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 1024, tables: int = 3, seed: int = 7) -> DataFrame:
     """(grp, id, neighbour, cosine, position): the ``k`` most similar others of every row of ``vectors``.
 
     ``vectors`` is (grp string, id long, vec packed unit doubles), as from :func:`usable_vectors`; ids are unique within
@@ -195,7 +197,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 4096, tabl
             for g, own in b.groupby("grp"):
                 tree, x, ids, vecs = shared.value[g], np.array([np.frombuffer(v) for v in own["vec"]]), own["rep"].to_numpy(), own["vec"].to_numpy()
                 for t in range(tables if tree.depth else 1):
-                    row, cell = tree.cells(x, t, tree.radius)
+                    row, cell = tree.cells(x, t, WINDOW * tree.radius)
                     home = np.zeros(len(x), dtype=np.int64)
                     for d in range(tree.depth):
                         home = 2 * home + (x @ tree.lines[t, d] > tree.cuts[t][d][home])
@@ -215,7 +217,10 @@ def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 4096, tabl
         return pd.DataFrame({"grp": key[0], "rep": ids[a], "near": x_ids[b], "cosine": np.round(c, 9)})
 
     placed = reps.select("grp", "rep", "vec").mapInPandas(place, "grp string, tree int, cell long, data boolean, rep long, vec binary")
-    near = placed.groupBy("grp", "tree", "cell").applyInPandas(search, "grp string, rep long, near long, cosine double").distinct()
+    near = placed.groupBy("grp", "tree", "cell").applyInPandas(search, "grp string, rep long, near long, cosine double")
+    # a pair found from one side is a candidate of the other side, too
+    ways = F.array(F.struct("rep", "near"), F.struct(F.col("near").alias("rep"), F.col("rep").alias("near")))
+    near = near.select("grp", "cosine", F.explode(ways).alias("w")).select("grp", "w.rep", "w.near", "cosine").distinct()
     best = Window.partitionBy("grp", "rep").orderBy(F.desc("cosine"), "near")
     near = near.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).select("grp", "rep", "near", "cosine")
     return _of_members(members, reps, copies, near, k)
