@@ -211,12 +211,12 @@ UNION ALL SELECT item_id, 'unknown paper' FROM benchmark_items b WHERE NOT EXIST
 
 def r12_score_spread(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "expanded_evidence", "question_id", "cross_encoder_score").filter(F.col("question_id").isNotNull() & F.col("cross_encoder_score").isNotNull() & ~F.isnan("cross_encoder_score"))
-    g = e.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cross_encoder_score").alias("distinct_scores"), F.round(F.var_pop("cross_encoder_score"), 8).alias("variance"))
+    g = e.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cross_encoder_score").alias("distinct_scores"), F.round(F.var_pop("cross_encoder_score"), 12).alias("variance"))
     return g.withColumn("degenerate", (F.col("n") > 1) & (F.col("distinct_scores") == 1))
 
 
 R12_SQL = """
-SELECT question_id, count(*) AS n, count(DISTINCT cross_encoder_score) AS distinct_scores, round(var_pop(cross_encoder_score), 8) AS variance, count(*) > 1 AND count(DISTINCT cross_encoder_score) = 1 AS degenerate
+SELECT question_id, count(*) AS n, count(DISTINCT cross_encoder_score) AS distinct_scores, round(var_pop(cross_encoder_score), 12) AS variance, count(*) > 1 AND count(DISTINCT cross_encoder_score) = 1 AS degenerate
 FROM expanded_evidence WHERE question_id IS NOT NULL AND cross_encoder_score IS NOT NULL AND NOT isnan(cross_encoder_score) GROUP BY 1"""
 
 QUERIES = {
