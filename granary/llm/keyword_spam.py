@@ -41,31 +41,42 @@ _MARK = re.compile(r"[•·»›|#✓★]|[=\-–]>|→|⇒")
 _NUMBER = re.compile(r"^[\d.,:%/+-]+$")
 
 
-def _distinct(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The number of distinct codes, -1 left out, in each of the sliding windows [lo, hi)."""
-    seen: dict[int, int] = {}
-    out, a, b = [], 0, 0
-    values = codes.tolist()
-    for x, y in zip(lo.tolist(), hi.tolist()):
-        while b < y:
-            if values[b] >= 0:
-                seen[values[b]] = seen.get(values[b], 0) + 1
-            b += 1
-        while a < x:
-            if values[a] >= 0:
-                seen[values[a]] -= 1
-                if not seen[values[a]]:
-                    del seen[values[a]]
-            a += 1
-        out.append(len(seen))
-    return np.array(out)
+def _distinct(counted: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """The number of distinct counted terms within HALF of each position: a term counts where its last occurrence is out of the window."""
+    n = len(counted)
+    i = np.nonzero(counted)[0]
+    start = np.maximum(np.maximum(i - HALF, i - gap[i] + HALF + 1), 0)
+    steps = np.bincount(start[start < n], minlength=n + 1) - np.bincount(np.minimum(i + HALF + 1, n)[start < n], minlength=n + 1)
+    return np.cumsum(steps)[:n]
+
+
+def _classify(tok: str) -> tuple[tuple[str, int], ...]:
+    """The terms of a token with their kinds: 0 term, 1 function word, 2 link, 3 number."""
+    core = _EDGE.sub("", tok).lower()
+    if not core:
+        return ()
+    if _LINK.search(tok if "://" in tok else core):
+        inner = [w for w in (_EDGE.sub("", x).lower() for x in tok.split("](", 1)[0].split()) if w] if "](" in tok else []
+        return (*((w, 0) for w in inner), ("\x00link", 2))
+    if _NUMBER.match(core):
+        return ((core, 3),)
+    return ((core, int(core in EVERY or ("'" in core or "’" in core) and re.split("['’]", core)[0] in EVERY)),)
+
+
+def _classified(tok: str, remembered: dict[str, tuple] = {}) -> tuple[tuple[str, int], ...]:  # noqa: B006
+    """As :func:`_classify`, remembered by token; a full memory is emptied."""
+    got = remembered.get(tok)
+    if got is None:
+        if len(remembered) > 200_000:
+            remembered.clear()
+        got = remembered[tok] = _classify(tok)
+    return got
 
 
 def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
     """(words, spam words, spam words by reason) of a text."""
-    terms: list[str] = []
-    line_of: list[int] = []
-    kinds: list[int] = []  # 0 term, 1 function word, 2 link, 3 number
+    items: list[tuple[str, int]] = []
+    per_line: list[int] = []
     lines = text.splitlines()
     table = np.zeros(len(lines) + 1, dtype=bool)
     fenced = False
@@ -74,35 +85,30 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
         if _FENCE.match(line):
             fenced = not fenced
             table[n] = True
+            per_line.append(0)
             continue
         table[n] = fenced or (line.lstrip().startswith("|") and bars > 1)
+        before = len(items)
         for tok in (_HTML.sub(" ", line) if "<" in line else line).split():
-            core = _EDGE.sub("", tok).lower()
-            if not core:
-                continue
-            if _LINK.search(tok if "://" in tok else core):
-                inner = [w for w in (_EDGE.sub("", x).lower() for x in tok.split("](", 1)[0].split()) if w] if "](" in tok else []
-                for w in inner:
-                    terms.append(w), line_of.append(n), kinds.append(0)
-                terms.append("\x00link"), line_of.append(n), kinds.append(2)
-            else:
-                kind = 3 if _NUMBER.match(core) else 1 if core in EVERY or ("'" in core or "’" in core) and re.split("['’]", core)[0] in EVERY else 0
-                terms.append(core), line_of.append(n), kinds.append(kind)
-    n = len(terms)
+            items += _classified(tok)
+        per_line.append(len(items) - before)
+    n = len(items)
     if n == 0:
         return 0, 0, {}
-    kind, at = np.array(kinds), np.array(line_of)
-    codes = np.unique(np.array(terms), return_inverse=True)[1]
+    terms, kinds = zip(*items)
+    kind, at = np.array(kinds), np.repeat(np.arange(len(lines)), per_line)
+    ids: dict[str, int] = {}
+    codes = np.array([ids.setdefault(t, len(ids)) for t in terms])
     is_fw, is_link = kind == 1, kind == 2
     blocked = table[at]
 
     # recurrence gaps
     order = np.lexsort((np.arange(n), codes))
-    gap = np.full(n, n + REACH + 1)
+    gap = np.full(n, 2 * n + 4 * HALF)
     same = codes[order][1:] == codes[order][:-1]
     step = np.diff(order)
     gap[order[1:][same]] = step[same]
-    ahead = np.full(n, n + REACH + 1)
+    ahead = np.full(n, 2 * n + 4 * HALF)
     ahead[order[:-1][same]] = step[same]
     near = (np.minimum(gap, ahead) <= REACH) & (kind == 0)
 
@@ -112,21 +118,23 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
     n_content, n_fw = total(kind == 0), total(is_fw)
     repeated = total(near) / np.maximum(1, n_content)
     fw_share = n_fw / size
-    distinct_fw = _distinct(np.where(is_fw, codes, -1), lo, hi)
-    # positional autocorrelation: the best single lag at which terms come again
-    auto = np.zeros(n)
-    for lag in LAGS:
-        if lag < n:
-            hit = np.zeros(n)
-            hit[lag:] = (codes[lag:] == codes[:-lag]) & (kind[lag:] != 3)
-            np.maximum(auto, total(hit) / size, out=auto)
+    distinct_fw = _distinct(is_fw, gap)
     regular = (repeated >= 0.62) & (n_content >= 6)
-    listed = (size > HALF) & (distinct_fw <= 3) & (total(kind == 3) <= 0.3 * size) & ((fw_share <= 0.12) | (fw_share <= 0.35) & ((auto >= 0.2) | (distinct_fw <= 2)))
+    listed = (size > HALF) & (distinct_fw <= 3) & (total(kind == 3) <= 0.3 * size) & (fw_share <= 0.35)
+    doubtful = listed & (fw_share > 0.12) & (distinct_fw > 2)
+    if doubtful.any():
+        # positional autocorrelation: the best single lag at which terms come again
+        auto = np.zeros(n)
+        for lag in LAGS:
+            if lag < n:
+                hit = np.zeros(n)
+                hit[lag:] = (codes[lag:] == codes[:-lag]) & (kind[lag:] != 3)
+                np.maximum(auto, total(hit) / size, out=auto)
+        listed &= ~doubtful | (auto >= 0.2)
 
     # lines: links, tags, and long lists of distinct nouns
     first = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1, [n]])
     reason = np.zeros(n, dtype=np.int8)  # 1 repetition, 2 link, 3 tags, 4 nouns
-    marks = np.array([len(_MARK.findall(x)) for x in lines] or [0])
     for a, b in zip(first[:-1], first[1:]):
         line = at[a]
         if table[line]:
@@ -137,7 +145,7 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
         links, fw, terms_here = int(is_link[a:b].sum()), int(is_fw[a:b].sum()), b - a
         if links and (fw <= 0.12 * terms_here or terms_here - links <= 3 * links and fw <= 0.2 * terms_here):
             reason[a:b] = 2
-        elif fw <= 0.04 * terms_here and (marks[line] >= 2 and marks[line] >= 0.12 * terms_here or _TAG_LINE.match(lines[line]) and terms_here <= 16 and terms_here >= 3):
+        elif fw <= 0.04 * terms_here and ((marks := len(_MARK.findall(lines[line]))) >= 2 and marks >= 0.12 * terms_here or _TAG_LINE.match(lines[line]) and terms_here <= 16 and terms_here >= 3):
             reason[a:b] = 3
     reason[(reason == 0) & listed & ~blocked] = 4
     reason[(reason == 0) & regular & ~blocked] = 1
