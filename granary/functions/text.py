@@ -63,20 +63,29 @@ def language_of(path: Column) -> Column:
     return F.coalesce(*[F.when(ext.isin(exts), F.lit(lang)) for lang, exts in LANGUAGES.items()], F.lit("unknown"))
 
 
+def _matching(ls: Column, pattern: str) -> Column:
+    return F.filter(ls, lambda x: x.rlike(pattern))
+
+
 def chunk_type(text: Column) -> Column:
     """TABLE, EQUATION, HYPERPARAMETERS, ALGORITHM, MIXED or TEXT by the shares of the lines that look so."""
-    ls = lines(text)
-    count = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p)))
-    n, table, eq, var, bullet = F.size(ls), count(TABLE_ROW), count(EQUATION), count(VARIABLE), count(BULLET)
-    return (
-        F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "TEXT")
-        .when(table > n * 0.4, "TABLE")
-        .when(eq > n * 0.3, "EQUATION")
-        .when(var > n * 0.2, "HYPERPARAMETERS")
-        .when(bullet > n * 0.4, "ALGORITHM")
-        .when((table > 0) | (eq > 0) | (var > 0), "MIXED")
-        .otherwise("TEXT")
-    )
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # computes ``value`` once
+    patterns = {"table": TABLE_ROW, "eq": EQUATION, "var": VARIABLE, "bullet": BULLET}
+
+    def counts(ls: Column) -> Column:
+        return F.struct(F.size(ls).alias("n"), *[F.size(_matching(ls, p)).alias(k) for k, p in patterns.items()])
+
+    def kind(c: Column) -> Column:
+        return (
+            F.when(c["table"] > c["n"] * 0.4, "TABLE")
+            .when(c["eq"] > c["n"] * 0.3, "EQUATION")
+            .when(c["var"] > c["n"] * 0.2, "HYPERPARAMETERS")
+            .when(c["bullet"] > c["n"] * 0.4, "ALGORITHM")
+            .when((c["table"] > 0) | (c["eq"] > 0) | (c["var"] > 0), "MIXED")
+            .otherwise("TEXT")
+        )
+
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "TEXT").otherwise(bind(bind(lines(text), counts), kind))
 
 
 def is_heading(line: Column) -> Column:
