@@ -3,11 +3,11 @@
 Every row gets an order-preserving code: the sort keys turned into 32-bit words,
 most significant first, with a row number as the last word, so no two rows share
 a code. All groups keep a bracket on the first word in which their undecided rows
-differ. One pass halves every bracket four times at once: rows are counted above
-the midpoints, the cutoff moves into one sixteenth of the bracket, rows above it are
+differ. One pass halves every bracket six times at once: rows are counted above
+the midpoints, the cutoff moves into one part in 64 of the bracket, rows above it are
 kept, rows below it are decided, and only rows inside it go into the next pass.
 
-A pass moves one pre-aggregated row per group and sixteenth, and joins undecided
+A pass moves one pre-aggregated row per group and part, and joins undecided
 rows with their cutoffs. Groups holding at least a thousandth of the rows (at most a
 thousand of them) get their cutoffs by broadcast, so their rows stay where they
 are; the others are joined by a shuffle, in which no group is large.
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from granary.plans.lineage import discard, materialize
 
 #: Halvings of a bracket in one pass, and the parts they make.
-HALVINGS = 4
+HALVINGS = 6
 PARTS = 2**HALVINGS
 #: A group of this many rows is hot if it also holds a thousandth of all rows.
 HOT_ROWS = 50_000
