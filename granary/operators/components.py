@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.plans.lineage import discard, materialize
+from granary.plans.skew import skew_join
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -22,14 +23,16 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of a node go to the smallest of the node and its neighbours
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = skew_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = materialize(large)
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = skew_join(large, least, ["u"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct())
         same = now.exceptAll(e).isEmpty() and e.exceptAll(now).isEmpty()
         discard(e)
+        discard(large)
         e = now
         if same:
             break

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from granary.functions.words import WordHashes, mix, ngrams, words
 from granary.operators.components import connected_components
 from granary.plans.lineage import materialize
+from granary.plans.skew import skew_join
 
 BINS = 192
 ROWS = 4
@@ -88,18 +89,21 @@ def _star_edges(reps: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"bucket": np.concatenate(keys), "id": np.repeat(b["id"].to_numpy(), BANDS)})
 
-    rows = reps.select("id", "shingles").mapInPandas(bands, "bucket long, id long")
-    rows = rows.withColumn("draw", F.struct(F.xxhash64("bucket", "id").alias("h"), F.col("id")))
-    # buckets of one member, nearly all, go before anything is sorted or joined
-    centres = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("bucket", "id")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = rows.select("bucket", "id").join(centres.select("bucket", "centre"), "bucket").filter("id <> centre")
+    rows = materialize(reps.select("id", "shingles").mapInPandas(bands, "bucket long, id long"))
+    # buckets of one member, nearly all, go before anything is joined
+    centres = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("bucket", "id")).alias("centre"), F.count(F.lit(1)).alias("n"))
+    centres = materialize(centres.filter("n > 1").select("bucket", "centre"))
+    edges = skew_join(rows, centres, ["bucket"]).filter("id <> centre")
     return edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs whose exact Jaccard similarity reaches the threshold."""
     s = reps.select("id", "shingles")
-    both = pairs.join(s.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    pairs = materialize(pairs)
+    one = skew_join(pairs, s.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), ["a"])
+    # the sets of one end travel with the pair, so the second join can't be counted beforehand; AQE splits its hot keys
+    both = one.join(s.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return both.select("a", "b", (F.col("i") / (F.col("n") - F.col("i"))).alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -73,8 +73,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float
     asked = q.select("term").distinct()
     sized = docs.select("doc_id", "terms", F.size("terms").alias("dl"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = sized.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = sized.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats is one row
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean))

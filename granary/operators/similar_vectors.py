@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.plans.lineage import materialize
+from granary.plans.skew import skew_join
 
 SAMPLE = 8192
 PROJECTIONS = 32
@@ -234,7 +235,8 @@ def _of_members(members: DataFrame, reps: DataFrame, copies: DataFrame, near: Da
     # of a vector's own copies and its neighbours k + 1 suffice, as a row leaves out itself alone
     listed = listed.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k + 1)
     per_rep = listed.groupBy("grp", "rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))).alias("listed"))
-    of = members.select("grp", "id", "vkey").join(reps.select("grp", "vkey", "rep"), ["grp", "vkey"]).join(per_rep, ["grp", "rep"])
+    per_vector = reps.select("grp", "vkey", "rep").join(per_rep, ["grp", "rep"])
+    of = skew_join(members.select("grp", "id", "vkey"), per_vector, ["grp", "vkey"])
     mine = F.slice(F.filter("listed", lambda s: s["neighbour"] != F.col("id")), 1, k)
     out = of.select("grp", "id", F.posexplode(mine).alias("position", "n"))
     return out.select("grp", "id", F.col("n.neighbour").alias("neighbour"), (-F.col("n.c")).alias("cosine"), (F.col("position") + 1).alias("position"))
