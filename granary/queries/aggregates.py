@@ -12,14 +12,15 @@ from granary.sources.tables import table
 
 
 def e1_item_counts(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark_items", "category", "difficulty", "split").fillna("none", ["category", "difficulty", "split"])
-    g = b.groupingSets([["category"], ["difficulty"], ["split"], []], "category", "difficulty", "split").agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.coalesce("category", F.lit("*")).alias("category"), F.coalesce("difficulty", F.lit("*")).alias("difficulty"), F.coalesce("split", F.lit("*")).alias("split"), "n")
+    norm = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("none")).alias(c)
+    b = table(spark, d, "documents", "lang", "source", "collection_id").select(norm("lang"), norm("source"), norm("collection_id"))
+    g = b.groupingSets([["lang"], ["source"], ["collection_id"], []], "lang", "source", "collection_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("source", F.lit("*")).alias("source"), F.coalesce("collection_id", F.lit("*")).alias("collection_id"), "n")
 
 
 E1_SQL = """
-SELECT coalesce(c, '*') AS category, coalesce(f, '*') AS difficulty, coalesce(s, '*') AS split, count(*) AS n
-FROM (SELECT coalesce(category, 'none') AS c, coalesce(difficulty, 'none') AS f, coalesce(split, 'none') AS s FROM benchmark_items) GROUP BY GROUPING SETS ((c), (f), (s), ())"""
+SELECT coalesce(c, '*') AS lang, coalesce(f, '*') AS source, coalesce(s, '*') AS collection_id, count(*) AS n
+FROM (SELECT coalesce(lower(trim(lang)), 'none') AS c, coalesce(lower(trim(source)), 'none') AS f, coalesce(lower(trim(collection_id)), 'none') AS s FROM documents) GROUP BY GROUPING SETS ((c), (f), (s), ())"""
 
 
 def e2_paper_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -195,18 +196,19 @@ R10_SQL = "SELECT content_hash, count(*) AS rows_with_hash, count(DISTINCT conte
 
 
 def r11_dataset_checks(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark_items")
+    b = table(spark, d, "run_results", "result_id", "question_id", "question", "answer", "expected", "paper", "saved_at", "run_at")
     flag = lambda c, name: F.when(c, F.lit(name))
-    checks = [flag(F.coalesce(F.trim("question"), F.lit("")) == "", "empty question"), flag(F.coalesce(F.trim("verified_answer"), F.lit("")) == "", "empty answer"), flag(F.col("difficulty").isNull(), "no difficulty"), flag(~F.col("split").isin("train", "validation", "test"), "unknown split")]
-    own = b.select("item_id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
-    orphan = b.join(table(spark, d, "papers", "paper_id"), "paper_id", "left_anti").select("item_id", F.lit("unknown paper").alias("problem"))
+    checks = [flag(F.coalesce(F.trim("question"), F.lit("")) == "", "empty question"), flag(F.coalesce(F.trim("answer"), F.lit("")) == "", "empty answer"), flag(F.col("expected").isNull(), "no expected answer"), flag(F.col("saved_at") < F.col("run_at"), "saved before run")]
+    own = b.select("result_id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    known = table(spark, d, "papers", F.col("pdf_filename").alias("paper"))
+    orphan = b.join(known, "paper", "left_anti").select("result_id", F.lit("unknown paper").alias("problem"))
     return own.unionByName(orphan)
 
 
 R11_SQL = """
-SELECT item_id, 'empty question' AS problem FROM benchmark_items WHERE coalesce(trim(question), '') = '' UNION ALL SELECT item_id, 'empty answer' FROM benchmark_items WHERE coalesce(trim(verified_answer), '') = ''
-UNION ALL SELECT item_id, 'no difficulty' FROM benchmark_items WHERE difficulty IS NULL UNION ALL SELECT item_id, 'unknown split' FROM benchmark_items WHERE split NOT IN ('train', 'validation', 'test')
-UNION ALL SELECT item_id, 'unknown paper' FROM benchmark_items b WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = b.paper_id)"""
+SELECT result_id, 'empty question' AS problem FROM run_results WHERE coalesce(trim(question), '') = '' UNION ALL SELECT result_id, 'empty answer' FROM run_results WHERE coalesce(trim(answer), '') = ''
+UNION ALL SELECT result_id, 'no expected answer' FROM run_results WHERE expected IS NULL UNION ALL SELECT result_id, 'saved before run' FROM run_results WHERE saved_at < run_at
+UNION ALL SELECT result_id, 'unknown paper' FROM run_results b WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.pdf_filename = b.paper)"""
 
 
 def r12_score_spread(spark: SparkSession, d: str) -> DataFrame:

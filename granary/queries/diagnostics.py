@@ -145,19 +145,17 @@ h AS (SELECT DISTINCT symbol, item_id FROM sv JOIN u USING (variant))
 SELECT symbol, item_id, row_number() OVER (PARTITION BY symbol ORDER BY item_id) AS position FROM h QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY item_id) <= 8"""
 
 
-def l9_item_types(spark: SparkSession, d: str) -> DataFrame:
-    c, q = F.lower(F.coalesce("category", F.lit(""))), F.lower(F.coalesce("question", F.lit("")))
-    by_name = {"main_contribution": "Contribution", "methodology": "Methodology", "experimental_setup": "Experimental Setup", "results": "Results", "hyperparameters": "Hyperparameter"}
+def l9_kinds_of_question(spark: SparkSession, d: str) -> DataFrame:
+    q = F.lower(F.coalesce("question", F.lit("")))
     by_word = [("table|figure|chart", "Table"), ("equation|formula|mathematical", "Equation"), ("how many|what is the|number|count|percentage", "Numerical"), ("compare|difference|versus|vs", "Comparison"), ("why|how|explain|describe", "Reasoning")]
-    kind = F.coalesce(*[F.when(c == k, v) for k, v in by_name.items()], *[F.when(q.rlike(p), v) for p, v in by_word], F.lit("Definition"))
-    return table(spark, d, "benchmark_items", "item_id", "category", "question").select("item_id", kind.alias("kind"))
+    kind = F.coalesce(*[F.when(q.rlike(p), v) for p, v in by_word], F.lit("Definition"))
+    return table(spark, d, "run_results", "result_id", "question").select("result_id", kind.alias("kind"))
 
 
 L9_SQL = """
-SELECT item_id, CASE WHEN c = 'main_contribution' THEN 'Contribution' WHEN c = 'methodology' THEN 'Methodology' WHEN c = 'experimental_setup' THEN 'Experimental Setup' WHEN c = 'results' THEN 'Results' WHEN c = 'hyperparameters' THEN 'Hyperparameter'
-    WHEN regexp_matches(q, 'table|figure|chart') THEN 'Table' WHEN regexp_matches(q, 'equation|formula|mathematical') THEN 'Equation' WHEN regexp_matches(q, 'how many|what is the|number|count|percentage') THEN 'Numerical'
+SELECT result_id, CASE WHEN regexp_matches(q, 'table|figure|chart') THEN 'Table' WHEN regexp_matches(q, 'equation|formula|mathematical') THEN 'Equation' WHEN regexp_matches(q, 'how many|what is the|number|count|percentage') THEN 'Numerical'
     WHEN regexp_matches(q, 'compare|difference|versus|vs') THEN 'Comparison' WHEN regexp_matches(q, 'why|how|explain|describe') THEN 'Reasoning' ELSE 'Definition' END AS kind
-FROM (SELECT item_id, lower(coalesce(category, '')) AS c, lower(coalesce(question, '')) AS q FROM benchmark_items)"""
+FROM (SELECT result_id, lower(coalesce(question, '')) AS q FROM run_results)"""
 
 
 def m3_citation_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +250,7 @@ QUERIES = {
     "k7_pipeline": (k7_pipeline, K7_SQL),
     "k13_repeated_questions": (k13_repeated_questions, K13_SQL),
     "l6_definitions": (l6_definitions, L6_SQL),
-    "l9_item_types": (l9_item_types, L9_SQL),
+    "l9_kinds_of_question": (l9_kinds_of_question, L9_SQL),
     "m3_citation_lists": (m3_citation_lists, M3_SQL),
     "q4_grounding_tiers": (q4_grounding_tiers, Q4_SQL),
     "r1_failure_classes": (r1_failure_classes, R1_SQL),

@@ -68,11 +68,11 @@ SELECT DISTINCT rc_id, question_id FROM c JOIN r USING (question_id) WHERE conta
 
 
 def c9_split_selector(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark_items", "item_id", "split", "category", "difficulty", "paper_id").filter((F.col("split") == "test") & F.col("difficulty").isin("medium", "hard"))
-    return b.join(table(spark, d, "papers", "paper_id", "collection_id"), "paper_id", "left_semi").select("item_id", "category", "difficulty")
+    b = table(spark, d, "documents", "doc_id", "lang", "source", "collection_id").filter((F.lower("lang") == "en") & F.lower(F.trim("source")).isin("paper_fulltext", "eval_reports"))
+    return b.join(table(spark, d, "papers", "collection_id"), "collection_id", "left_semi").select("doc_id", "source")
 
 
-C9_SQL = "SELECT item_id, category, difficulty FROM benchmark_items b WHERE split = 'test' AND difficulty IN ('medium', 'hard') AND EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = b.paper_id)"
+C9_SQL = "SELECT doc_id, source FROM documents b WHERE lower(lang) = 'en' AND lower(trim(source)) IN ('paper_fulltext', 'eval_reports') AND EXISTS (SELECT 1 FROM papers p WHERE p.collection_id = b.collection_id)"
 
 
 def d1_expected_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -216,12 +216,12 @@ QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, evidence_so
 
 
 def f7_seeded_order(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark_items", "item_id", "split")
-    w = Window.partitionBy("split").orderBy(F.md5(F.concat(F.col("item_id").cast("string"), F.lit("/42"))))
-    return b.select("split", "item_id", F.row_number().over(w).alias("position"))
+    b = table(spark, d, "run_results", "result_id", "run_name").filter("run_name IS NOT NULL")
+    w = Window.partitionBy("run_name").orderBy(F.md5(F.concat(F.col("result_id").cast("string"), F.lit("/42"))))
+    return b.select("run_name", "result_id", F.row_number().over(w).alias("position"))
 
 
-F7_SQL = "SELECT split, item_id, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(item_id AS VARCHAR) || '/42')) AS position FROM benchmark_items"
+F7_SQL = "SELECT run_name, result_id, row_number() OVER (PARTITION BY run_name ORDER BY md5(CAST(result_id AS VARCHAR) || '/42')) AS position FROM run_results WHERE run_name IS NOT NULL"
 
 
 def f8_sorted_names(spark: SparkSession, d: str) -> DataFrame:

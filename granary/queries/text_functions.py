@@ -67,12 +67,12 @@ H5_SQL = r"SELECT item_id, lower(trim(replace(file_path, '\', '/'))) AS path FRO
 
 def h8_file_names(spark: SparkSession, d: str) -> DataFrame:
     s = F.regexp_replace(F.translate(F.col("paper_title"), '<>:"/\\|?*', ""), r"\s+", "_")
-    return table(spark, d, "papers", "paper_id", "paper_title").select("paper_id", F.when(F.length(s) > 40, F.concat(F.substring(s, 1, 37), F.lit("..."))).otherwise(s).alias("file_name"))
+    return table(spark, d, "expanded_evidence", "ev_id", "paper_title").select("ev_id", F.when(F.length(s) > 40, F.concat(F.substring(s, 1, 37), F.lit("..."))).otherwise(s).alias("file_name"))
 
 
 H8_SQL = r"""
-SELECT paper_id, CASE WHEN length(s) > 40 THEN substring(s, 1, 37) || '...' ELSE s END AS file_name
-FROM (SELECT paper_id, regexp_replace(translate(paper_title, '<>:"/\|?*', ''), '\s+', '_', 'g') AS s FROM papers)"""
+SELECT ev_id, CASE WHEN length(s) > 40 THEN substring(s, 1, 37) || '...' ELSE s END AS file_name
+FROM (SELECT ev_id, regexp_replace(translate(paper_title, '<>:"/\|?*', ''), '\s+', '_', 'g') AS s FROM expanded_evidence)"""
 
 
 def h9_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +122,12 @@ H13_SQL = r"SELECT ev_id, unnest(list_distinct(regexp_extract_all(lower(chunk_te
 
 
 def h14_markdown_rows(spark: SparkSession, d: str) -> DataFrame:
-    cells = F.transform(F.array("paper_title", "authors", "year"), lambda c: F.replace(F.coalesce(F.trim(c), F.lit("")), F.lit("\n"), F.lit(" ")))
-    return table(spark, d, "papers").select("paper_id", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("row"))
+    cells = F.transform(F.array("question_id", "paper_title", "section"), lambda c: F.replace(F.coalesce(F.trim(c), F.lit("")), F.lit("\n"), F.lit(" ")))
+    return table(spark, d, "retrieved_chunks").select("rc_id", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("row"))
 
 
 H14_SQL = r"""
-SELECT paper_id, '| ' || array_to_string([replace(coalesce(trim(x), ''), chr(10), ' ') FOR x IN [paper_title, authors, year]], ' | ') || ' |' AS "row" FROM papers"""
+SELECT rc_id, '| ' || array_to_string([replace(coalesce(trim(x), ''), chr(10), ' ') FOR x IN [question_id, paper_title, section]], ' | ') || ' |' AS "row" FROM retrieved_chunks"""
 
 
 def h15_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -216,19 +216,19 @@ SELECT result_id, len(e) AS expected_numbers, len(list_filter(e, lambda x: len(l
 
 
 def h30_years(spark: SparkSession, d: str) -> DataFrame:
-    y = F.nullif(F.regexp_extract(F.coalesce("year", F.lit("")), r"([0-9]{4})", 1), F.lit(""))
-    return table(spark, d, "papers", "paper_id", "year").select("paper_id", F.coalesce(y, F.lit("unknown")).alias("published"))
+    y = F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1), F.lit(""))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.coalesce(y, F.lit("unknown")).alias("published"))
 
 
-H30_SQL = "SELECT paper_id, coalesce(nullif(regexp_extract(coalesce(year, ''), '([0-9]{4})', 1), ''), 'unknown') AS published FROM papers"
+H30_SQL = r"SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(text, ''), '\b((?:19|20)[0-9]{2})\b', 1), ''), 'unknown') AS published FROM documents"
 
 
 def h33_row_digests(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("item_id", "question", "verified_answer", "gold_passage")]
-    return table(spark, d, "benchmark_items").select("item_id", F.sha2(F.concat_ws("\x1f", *parts), 256).alias("digest"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("result_id", "question", "expected", "answer")]
+    return table(spark, d, "run_results").select("result_id", F.sha2(F.concat_ws("\x1f", *parts), 256).alias("digest"))
 
 
-H33_SQL = "SELECT item_id, sha256(CAST(item_id AS VARCHAR) || chr(31) || coalesce(question, '') || chr(31) || coalesce(verified_answer, '') || chr(31) || coalesce(gold_passage, '')) AS digest FROM benchmark_items"
+H33_SQL = "SELECT result_id, sha256(CAST(result_id AS VARCHAR) || chr(31) || coalesce(question, '') || chr(31) || coalesce(expected, '') || chr(31) || coalesce(answer, '')) AS digest FROM run_results"
 
 QUERIES = {
     "a5_language": (a5_language, A5_SQL),
