@@ -29,6 +29,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return n.select("table_name", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+P2_SQL = rf"""
+WITH r AS (SELECT 'emb_cache' AS table_name, model_name AS grp, emb_id AS id, embedding_json AS j, TRY_CAST(regexp_extract(model_name, '([0-9]+)$', 1) AS BIGINT) AS dim FROM emb_cache
+    UNION ALL SELECT 'semantic_cache', '', cache_id, embedding, 64 FROM semantic_cache),
+a AS (SELECT table_name, grp, id, dim, CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' AND json_array_length(j) = dim THEN CAST(j AS JSON) END AS j FROM r WHERE grp IS NOT NULL),
+u AS (SELECT table_name, grp, id, CAST(j AS DOUBLE[]) AS v FROM a WHERE j IS NOT NULL AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) = 0),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM u WHERE len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT a.table_name, a.id AS id, b.id AS near, round(list_dot_product(a.v, b.v) / (a.l * b.l), 9) AS cosine FROM n a JOIN n b ON a.table_name = b.table_name AND a.grp = b.grp AND a.id <> b.id),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY table_name, id ORDER BY cosine DESC, near) <= {NEIGHBOURS})
+SELECT DISTINCT table_name, least(id, near) AS id_a, greatest(id, near) AS id_b FROM t"""
+
+
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     n = _neighbours(spark, d)
     return n.select("grp", "id", "position", "neighbour", "cosine")
@@ -54,6 +65,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("rc_id_a"), F.col("id_b").alias("rc_id_b")).distinct()
 
 
+P4_SQL = r"""
+WITH w AS (SELECT rc_id, regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+') AS w FROM retrieved_chunks WHERE chunk_text IS NOT NULL),
+s AS (SELECT rc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+e AS (SELECT rc_id, len(s) AS n, unnest(s) AS g FROM s)
+SELECT a.rc_id AS rc_id_a, b.rc_id AS rc_id_b FROM e a JOIN e b ON a.g = b.g AND a.rc_id < b.rc_id GROUP BY 1, 2, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))"""
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(table(spark, d, "retrieved_chunks", "rc_id", "chunk_text"), "rc_id", "chunk_text")
 
@@ -81,10 +99,10 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": (p2_found, None),
+    "p2_found": (p2_found, P2_SQL),
     "p2_neighbours": (p2_neighbours, None),
     "p3_found": (p3_found, P3_SQL),
-    "p4_found": (p4_found, None),
+    "p4_found": (p4_found, P4_SQL),
     "p4_groups": (p4_groups, None),
     "p5_found": (p5_found, P5_SQL),
     "p5_pieces": (p5_pieces, None),
