@@ -27,6 +27,8 @@ from granary.plans.lineage import materialize
 BLOCK = 2_000
 #: So many documents of a source, drawn at random, and the two that the last flight leaves make up its landing problem.
 LANDING = 10
+#: More targets than this are refused, as one row for each is broadcast.
+SOURCES = 100_000
 _EPS = 1e-9
 
 
@@ -109,10 +111,13 @@ def cube_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
     """(doc_id, source, tokens, uses): the documents of the mix and how often each is used, at most max_repeats times.
 
     ``sized`` is (doc_id, source, tokens). Documents without tokens, with a null source or with a source without target are left out; a target without documents
-    contributes nothing; empty tables give an empty mix. The result depends on ``seed`` and the rows alone.
+    contributes nothing; more than SOURCES targets are an error; empty tables give an empty mix. The result depends on ``seed`` and the rows alone.
     """
     plan = mix_plan(sized, targets, total_tokens)
-    rows = sized.filter("tokens > 0").join(F.broadcast(plan.select("source", "mean_uses", "documents")), "source")
+    few = plan.select("source", "mean_uses", "documents")
+    if few.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} target sources")
+    rows = sized.filter("tokens > 0").join(F.broadcast(few), "source")
     whole = F.floor(F.col("mean_uses") + 1e-9)
     rows = rows.withColumn("base", whole.cast("int")).withColumn("p", F.greatest(F.col("mean_uses") - whole, F.lit(0.0)))
     state = materialize(rows.select("doc_id", "source", "tokens", "base", "p", F.col("documents").alias("left")))
