@@ -281,7 +281,9 @@ def is_other_language(question: str | None, answer: str) -> bool:
         return False
     best = max(a, key=lambda k: a[k])
     n = len(_WORD.findall(answer))
-    return best != asked and a[best] >= max(2.0, 0.12 * n) and a[best] >= 1.7 * a[asked] + 0.5
+    if best == asked:
+        return False
+    return a[best] >= max(2.0, 0.12 * n) and a[best] >= 1.7 * a[asked] + 0.5 or a[asked] == 0 and a[best] >= 1.2 and n >= 5
 
 
 def defect(question: str | None, answer: str | None, expected: str | None) -> str | None:

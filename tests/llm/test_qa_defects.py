@@ -29,6 +29,7 @@ E = "Alpha reaches 12.3 points."
         ("Dazu kann ich leider keine Auskunft geben.", "refusal"), ("Je suis désolé, je ne peux pas répondre à cette question.", "refusal"), ("No answer can be given from the context provided", "refusal"),
         ("The baseline cannot hold more than 9 runs, and Alpha does not provide a decoder.", None),
         ("Die Autoren nennen dafür keinen Grund, doch Alpha bestimmt das Ergebnis nicht.", "other_language"), ("Авторы пишут, что модель почти всегда медленная.", "other_language"), ("Il calcolo di Alpha limita ogni filtro di 3 per cento.", "other_language"),
+        ("La segunda página indica que el registro supera 28.0.", "other_language"),
     ],
 )
 def test_defects(answer, want):
