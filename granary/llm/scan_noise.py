@@ -73,6 +73,8 @@ CONFUSIONS: tuple[tuple[str, str], ...] = (
     ("é", "e"), ("è", "e"), ("ê", "e"), ("á", "a"), ("à", "a"), ("ó", "o"), ("ò", "o"), ("í", "i"), ("ì", "i"), ("ú", "u"), ("ù", "u"), ("ö", "o"), ("ä", "a"), ("ü", "u"),
 )
 _RAW = re.compile(r"\S+")
+#: A word set apart letter by letter.
+_SPACED = re.compile(r"(?<![\w.])(?:[^\W\d_]\s){3,}[^\W\d_](?!\w)")
 _TRIM = re.compile(r"^[\"'“‘\[{«*_]+|[\"'”’\]}»*_.,;:?…]+$")
 _DIGIT_INSIDE = re.compile(r"[^\W\d_][01569|!($@][a-z]")
 _CODE = re.compile(r"[/_.:#=<>]")
@@ -280,7 +282,10 @@ class Judge:
             if meant is not None and meant != low:
                 at = m.start() + raw.find(w)
                 out.append((at, at + len(w), meant))
-        return out
+        for m in _SPACED.finditer(text):
+            word = "".join(m.group().split()).lower()
+            out.append((m.start(), m.end(), self.meant(word) or word))
+        return sorted(out)
 
     def divided(self, a: str, hyphen: str, gap: str, b: str) -> bool:
         """Whether ``a``, hyphen, line end (or blank) and ``b`` are one word."""
@@ -300,6 +305,12 @@ class Judge:
             return False
         return more not in v or low not in v
 
+    def rejoined(self, text: str) -> str:
+        """The text with its divided words in one piece."""
+        if "\xad" in text:
+            text = _SOFT.sub(lambda m: m.group()[0] + m.group()[2], text)
+        return _DIVIDED.sub(lambda m: m.group(1) + m.group(4) if self.divided(*m.groups()) else m.group(), text)
+
     def noise(self, text: str | None, paper: Paper, page: int | None) -> set[str]:
         """The kinds of noise in a text."""
         if not text or not text.strip():
@@ -314,8 +325,10 @@ class Judge:
             if margins:
                 body = "\n".join(x for i, x in enumerate(lines) if i not in margins)
         if _MAYBE_DIVIDED.search(body):
-            if _SOFT.search(body) or any(self.divided(*m.groups()) for m in _DIVIDED.finditer(body)):
+            joined = self.rejoined(body)
+            if joined != body:
                 out.add("hyphenation")
+                body = joined
         if sum(map(self.suspicion, body.split())) >= MISREAD_WORDS and len(self.misread(body)) >= MISREAD_WORDS:
             out.add("misread")
         return out
@@ -346,8 +359,8 @@ class Judge:
             else:
                 last = body.rsplit("\n", 1)[-1]
                 body += ("\n" if _HEADING.match(last) and not _TERMINAL.search(last) or _CELL.match(last) else " ") + s
-        body = re.sub("(?<=[^\\W\\d_])\xad(?=[^\\W\\d_])", "", body)
-        body = _DIVIDED.sub(lambda m: m.group(1) + m.group(4) if self.divided(*m.groups()) else m.group(1) + m.group(2) + ("" if "\n" in m.group(3) else m.group(3)) + m.group(4), body)
+        body = self.rejoined(body)
+        body = _DIVIDED.sub(lambda m: m.group(1) + m.group(2) + ("" if "\n" in m.group(3) else m.group(3)) + m.group(4), body)
         if "misread" in kinds:
             wrong = self.misread(body)
             for a, b, meant in reversed(wrong):
