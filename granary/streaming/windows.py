@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` as a file stream: a file, or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     reader = spark.readStream.schema(schema)
-    if os.path.isdir(f"{sf_dir}/{name}.parquet"):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return reader.parquet(f"{sf_dir}/{name}.parquet")
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
