@@ -18,14 +18,14 @@ def b10_score_table(spark: SparkSession, d: str) -> DataFrame:
     names = ["semantic_similarity", "grounding_score_percent", "concept_coverage_percent"]
     g = r.groupBy(m["grounding_label"].alias("label")).agg(*[F.avg(F.nanvl(m[n], F.lit(None).cast("double"))).alias(n) for n in names])
     best = g.agg(*[F.max(n).alias(f"best_{n}") for n in names])
-    cell = lambda n: F.concat(F.format_string("%.2f", F.col(n)), F.when(F.col(n) == F.col(f"best_{n}"), F.lit("*")).otherwise("")).alias(n)
+    cell = lambda n: F.concat(F.format_string("%.2f", F.col(n) + 1e-9), F.when(F.col(n) == F.col(f"best_{n}"), F.lit("*")).otherwise("")).alias(n)
     return g.crossJoin(F.broadcast(best)).select("label", *[cell(n) for n in names])  # best is one row
 
 
 _M = ["semantic_similarity", "grounding_score_percent", "concept_coverage_percent"]
 B10_SQL = f"""
 WITH g AS (SELECT metrics.grounding_label AS label, {', '.join(f'avg(CASE WHEN isnan(metrics.{n}) THEN NULL ELSE metrics.{n} END) AS {n}' for n in _M)} FROM run_results WHERE metrics.grounding_label IS NOT NULL GROUP BY 1)
-SELECT label, {', '.join(f"format('{{:.2f}}', {n}) || CASE WHEN {n} = (SELECT max({n}) FROM g) THEN '*' ELSE '' END AS {n}" for n in _M)} FROM g"""
+SELECT label, {', '.join(f"format('{{:.2f}}', {n} + 1e-9) || CASE WHEN {n} = (SELECT max({n}) FROM g) THEN '*' ELSE '' END AS {n}" for n in _M)} FROM g"""
 
 
 def c10_chunk_projection(spark: SparkSession, d: str) -> DataFrame:
