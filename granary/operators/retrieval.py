@@ -12,36 +12,42 @@ from pyspark.sql import functions as F
 BLOCK = 2_048
 
 
-def _packed(df: DataFrame, side: str) -> DataFrame:
-    """Rows (id, vec array) packed into blocks: one row holds up to BLOCK ids and their unit vectors."""
+def _packed(df: DataFrame, side: str, within: str | None = None) -> DataFrame:
+    """Rows (id, vec array) packed into blocks: one row holds up to BLOCK ids and their unit vectors, of one value of ``within``."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
         vecs: list[np.ndarray] = []
+        group: str | None = None
 
         def block() -> pd.DataFrame:
             m = np.array(vecs, dtype="float64")
             norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return pd.DataFrame({f"{side}_ids": [np.array(ids, dtype="int64").tobytes()], f"{side}_vecs": [(m / np.where(norms > 0, norms, 1.0)).tobytes()]})
+            packed = {"grp": [group], f"{side}_ids": [np.array(ids, dtype="int64").tobytes()], f"{side}_vecs": [(m / np.where(norms > 0, norms, 1.0)).tobytes()]}
+            return pd.DataFrame(packed)
 
         for b in batches:
-            for i, v in zip(b["id"], b["vec"]):
-                ids.append(i), vecs.append(np.asarray(v, dtype="float64"))
-                if len(ids) == BLOCK:
+            for g, i, v in zip(b["grp"], b["id"], b["vec"]):
+                if ids and (len(ids) == BLOCK or g != group):
                     yield block()
                     ids, vecs = [], []
+                group = g
+                ids.append(i), vecs.append(np.asarray(v, dtype="float64"))
         if ids:
             yield block()
 
-    rows = df.select("id", "vec").filter("id IS NOT NULL AND vec IS NOT NULL")
-    return rows.mapInPandas(pack, f"{side}_ids binary, {side}_vecs binary")
+    rows = df.select((F.col(within).cast("string") if within else F.lit("")).alias("grp"), "id", "vec").filter("grp IS NOT NULL AND id IS NOT NULL AND vec IS NOT NULL")
+    if within:
+        rows = rows.sortWithinPartitions("grp")
+    return rows.mapInPandas(pack, f"grp string, {side}_ids binary, {side}_vecs binary")
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
+def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = True, within: str | None = None) -> DataFrame:
     """(query_id, id, cosine, rank): the ``k`` rows of highest cosine for each query; ties go to the smaller id.
 
     Both sides are (id, vec array of one length) and are packed into blocks; every pair of a query block and a row block is
     one matrix product that keeps ``k`` a query, and the kept ones are merged by query. Nulls are left out; empty sides give no rows.
+    With ``within``, a column of both sides, only rows that are equal in it are searched; its nulls find nothing.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +63,8 @@ def dense_top_k(queries: DataFrame, rows: DataFrame, k: int, skip_self: bool = T
                 best = np.take_along_axis(cos, top, axis=1)
                 yield pd.DataFrame({"query_id": np.repeat(q_ids, top.shape[1]), "id": x_ids[top].ravel(), "cosine": best.ravel()})
 
-    pairs = _packed(queries, "q").crossJoin(_packed(rows, "x"))  # of blocks: a stated query set against all rows
+    q, x = _packed(queries, "q", within), _packed(rows, "x", within)
+    pairs = q.join(x, "grp") if within else q.drop("grp").crossJoin(x.drop("grp"))  # of blocks: a stated query set against all rows
     found = pairs.mapInPandas(search, "query_id long, id long, cosine double").filter("cosine > -9")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -175,10 +175,8 @@ def k11_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
             yield b.assign(vec=[np.frombuffer(x) for x in b["vec"]])
 
     v = v.mapInPandas(unpack, "grp string, id long, vec array<double>")
-    near = K.dense_top_k(v.filter(F.col("id") % EVERY == 0), v, 20).filter("cosine >= 0.95")
-    repo = c.select(F.col("cache_id").alias("id"), F.col("repo_id").alias("r"))
-    near = near.join(repo, "id").join(repo.select(F.col("id").alias("query_id"), F.col("r").alias("rq")), "query_id").filter("r = rq")
-    near = near.groupBy(F.col("query_id").alias("asked_id")).agg(F.min_by("id", "rank").alias("near_id"))
+    near = K.dense_top_k(v.filter(F.col("id") % EVERY == 0), v, 1, within="grp").filter("cosine >= 0.95")
+    near = near.select(F.col("query_id").alias("asked_id"), F.col("id").alias("near_id"))
     out = asked.select("asked_id").join(exact, "asked_id", "left").join(near, "asked_id", "left")
     return out.select("asked_id", F.coalesce("hit_id", "near_id", F.lit(-1)).alias("hit_id"), F.when(F.col("hit_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "similar").otherwise("miss").alias("kind"))
 
