@@ -4,8 +4,10 @@ A text is its set of hashed word shingles. One hash of every shingle gives both
 value; the smallest value of each bin is the signature, and empty bins borrow from bins
 drawn by a hash of bin and attempt (optimal densification). Bands of
 ``ROWS`` bins make buckets; the members of a bucket are joined with one member of it, its
-centre, so a bucket of s texts gives s - 1 candidate edges, never s squared. The centre
-is drawn anew in every band.
+centre, drawn anew in every band. If all of them reach the threshold with the centre, as copies of one text do, its s - 1
+edges connect the bucket. Otherwise its other pairs are compared, too: all of them in buckets of up to ``SMALL``
+classes, and by an exact prefix-filter join in larger ones. So a pair is missed only if it shares no bucket at all and no
+component either.
 
 Candidates are verified by the exact Jaccard similarity. Texts with equal shingle sets are one
 class from the start and are compared once. :func:`similar_pairs` then completes the links
@@ -80,8 +82,8 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_wo
     return rows.filter("id IS NOT NULL AND text IS NOT NULL").mapInPandas(of, "id long, skey binary, shingles array<bigint>")
 
 
-def _star_edges(reps: DataFrame) -> DataFrame:
-    """(a, b): distinct candidate edges between the centre of a bucket and its other members."""
+def _bucket_members(reps: DataFrame) -> DataFrame:
+    """(bucket, id, centre, n): the members of every bucket of n > 1 sets with the bucket's centre."""
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -91,10 +93,36 @@ def _star_edges(reps: DataFrame) -> DataFrame:
 
     rows = materialize(reps.select("id", "shingles").mapInPandas(bands, "bucket long, id long"))
     # buckets of one member, nearly all, go before anything is joined
-    centres = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("bucket", "id")).alias("centre"), F.count(F.lit(1)).alias("n"))
-    centres = materialize(centres.filter("n > 1").select("bucket", "centre"))
-    edges = skew_join(rows, centres, ["bucket"]).filter("id <> centre")
-    return edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    centres = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("bucket", "id")).alias("centre"), F.count_distinct("id").alias("n"))
+    centres = materialize(centres.filter("n > 1"))
+    return materialize(skew_join(rows, centres, ["bucket"]).select("bucket", "id", "centre", "n").distinct())
+
+
+def _edges(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): verified links that connect all pairs at the threshold which share a bucket.
+
+    Centres are compared with their leaves first. Two leaves that are both near their centre are then connected; any other two leaves of the
+    bucket are compared as well: all of them in buckets of up to ``SMALL`` sets, by the exact prefix-filter join in larger ones.
+    """
+    members = _bucket_members(reps)
+    ends = F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
+    stars = materialize(members.filter("id <> centre").select(*ends).distinct())
+    edges = materialize(_verified(stars, reps, threshold))
+    leaves = members.filter("n > 2 AND id <> centre").select("bucket", "id", "n", *ends)
+    leaves = leaves.join(edges.select("a", "b", F.lit(True).alias("near")), ["a", "b"], "left").select("bucket", "id", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    leaves = materialize(leaves)
+    # one bucket of those with the same leaves will do
+    digest = F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")
+    left = leaves.groupBy("bucket", "n").agg(F.bool_and("near").alias("settled"), *digest)
+    left = left.filter("NOT settled").groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    leaves = materialize(leaves.join(left, "bucket"))
+    small = leaves.filter(F.col("n") <= SMALL)
+    a = small.select("bucket", F.col("id").alias("a"), F.col("near").alias("near_a"))
+    b = small.select("bucket", F.col("id").alias("b"), F.col("near").alias("near_b"))
+    pairs = a.join(b, "bucket").filter("a < b AND NOT (near_a AND near_b)").select("a", "b")
+    large = leaves.filter(F.col("n") > SMALL).select(F.col("bucket").alias("component"), "id", "near")
+    pairs = pairs.unionByName(_prefix_pairs(large, reps, threshold)).distinct().join(stars, ["a", "b"], "left_anti")
+    return materialize(edges.unionByName(_verified(pairs, reps, threshold)))
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -122,11 +150,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold:
     """(id, group_id, copies, links): one row for every text that is nearly that of another.
 
     ``group_id`` is the smallest id of the texts connected by links of at least ``threshold``; ``copies`` counts the rows with
-    the same shingle set (itself included) and ``links`` the verified star edges of that set. Null texts, texts under ``min_words``
+    the same shingle set (itself included) and ``links`` the verified edges of that set. Null texts, texts under ``min_words``
     words and texts without a near-duplicate give no row; repeated ids count once; an empty table gives an empty one.
     """
     members, reps = _classes(df, id_col, text_col, shingle, min_words)
-    edges = materialize(_verified(_star_edges(reps), reps, threshold))
+    edges = _edges(reps, threshold)
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
     links = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     comp = connected_components(edges).select(F.col("node").alias("id"), "component")
@@ -144,13 +172,13 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
     empty tables are treated as in :func:`near_duplicate_groups`.
     """
     members, reps = _classes(df, id_col, text_col, shingle, min_words)
-    edges = materialize(_verified(_star_edges(reps), reps, threshold))
+    edges = _edges(reps, threshold)
     comp = materialize(connected_components(edges))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     comp = comp.join(sizes, "component")
     small = comp.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).select("component", "node")
     pairs = small.select("component", F.col("node").alias("a")).join(small.select("component", F.col("node").alias("b")), "component").filter("a < b").select("a", "b")
-    large = comp.filter(F.col("n") > SMALL).select("component", F.col("node").alias("id"))
+    large = comp.filter(F.col("n") > SMALL).select("component", F.col("node").alias("id"), F.lit(False).alias("near"))
     pairs = pairs.unionByName(_prefix_pairs(large, reps, threshold)).join(edges, ["a", "b"], "left_anti")
     links = edges.unionByName(_verified(pairs, reps, threshold))
     ids = members.join(reps.select("skey", F.col("id").alias("rep")), "skey").select("rep", "id")
@@ -162,12 +190,17 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float =
 
 
 def _prefix_pairs(large: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs inside large components: two sets at the threshold share a shingle of their prefixes, rarest first."""
+    """Candidate pairs inside large components (component, id, near), but not of two near ones: two sets at the threshold share a shingle of their prefixes, rarest first.
+
+    What follows the first shared shingle bounds what they can have in common.
+    """
     sets = large.join(reps.select("id", "shingles"), "id")
-    each = sets.select("component", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = sets.select("component", "id", "near", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     freq = each.groupBy("component", "s").agg(F.count(F.lit(1)).alias("f"))
     ranked = each.join(freq, ["component", "s"]).withColumn("r", F.row_number().over(Window.partitionBy("component", "id").orderBy("f", "s")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("component", "s", "id", "n")
-    other = prefix.select("component", "s", F.col("id").alias("b"), F.col("n").alias("m"))
-    near = prefix.withColumnRenamed("id", "a").join(other, ["component", "s"]).filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9))
-    return near.select("a", "b").distinct()
+    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("component", "s", "id", "near", "n", "r")
+    other = prefix.select("component", "s", F.col("id").alias("b"), F.col("near").alias("near_b"), F.col("n").alias("m"), F.col("r").alias("q"))
+    near = prefix.withColumnRenamed("id", "a").join(other, ["component", "s"]).filter("a < b AND NOT (near AND near_b)").filter(F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9)
+    near = near.groupBy("component", "a", "b", "n", "m").agg(F.min("r").alias("r"), F.min("q").alias("q"))
+    common = 1 + F.least(F.col("n") - F.col("r"), F.col("m") - F.col("q"))
+    return near.filter(common * (1 + threshold) >= (F.col("n") + F.col("m")) * threshold - 1e-6).select("a", "b").distinct()

@@ -71,3 +71,42 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, 50: 50, 51: 50, 52: 50}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+def template_heavy(texts=120, seed=5):
+    """Texts that share most of their words with one template, and in pairs a little more."""
+    rnd = random.Random(seed)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for p in range(texts // 2):
+        more = [f"p{p}x{i}" for i in range(6)]
+        rows += [" ".join(template + more + [f"o{p}y{side}z{i}" for i in range(20)]) for side in range(2)]
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def sharing_a_bucket(rows, pairs, n):
+    import numpy as np
+
+    from granary.functions.words import WordHashes, ngrams, words
+    from granary.operators.near_duplicates import band_keys
+
+    known = WordHashes()
+    keys = {i: set(band_keys(signature(np.unique(ngrams(known.of(words(t)), n)))).tolist()) for i, t in rows}
+    return {(a, b) for a, b in pairs if keys[a] & keys[b]}
+
+
+def test_leaves_of_a_template_bucket_are_compared(spark, monkeypatch):
+    import granary.operators.near_duplicates as m
+
+    rows = template_heavy()
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = truth(rows, 0.6, 3)
+    assert len(want) == 60
+    for small in (64, 4):  # by all pairs, by the prefix join
+        monkeypatch.setattr(m, "SMALL", small)
+        got = {(r.id_a, r.id_b) for r in similar_pairs(df, "id", "text", 0.6, 3).collect()}
+        assert sharing_a_bucket(rows, want, 3) <= got <= want
+    groups = {}
+    for r in near_duplicate_groups(df, "id", "text", 0.6, 3).collect():
+        groups.setdefault(r.group_id, []).append(r.id)
+    assert sharing_a_bucket(rows, want, 3) <= {tuple(sorted(g)) for g in groups.values()}
