@@ -4,14 +4,14 @@ Every text is read as a sequence of terms. For each term the gaps to its last an
 (recurrence), and for windows of terms the share of positions at which the text repeats itself at one common lag
 (positional autocorrelation over a range of lags). Sentences have function words and hardly repeat a content word within a few
 words; stuffed text repeats the same few terms at short and regular gaps, and lists of nouns have distinct terms but no
-function words at all. A word is spam if its window is regular in this sense or it stands in a link line, a tag line or a noun list;
+function words at all. A longer keyword phrase comes again and again at one common lag, which the gaps give for lags of any length. A word is spam if its window is regular in this sense or it stands in a link line, a tag line or a noun list;
 a page is spam if over half of its words are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from granary.llm.function_words import EVERY
 
 #: Terms repeat closely if they do within so many positions.
 REACH = 8
-#: Lags over which a text is compared with itself.
+#: Lags over which a doubtful list is compared with itself.
 LAGS = range(2, 9)
 #: Half the window around a term.
 HALF = 12
@@ -50,6 +50,34 @@ def _distinct(counted: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n]
 
 
+def _periodic(kind: np.ndarray, gap: np.ndarray, ahead: np.ndarray, stops: list[int], total: Callable, size: np.ndarray) -> np.ndarray:
+    """Positions where the text comes for the third time or more at one common lag, of any length, and what comes again isn't a sentence.
+
+    A sentence has many function words in one period, or at least a few of them and a full stop.
+    """
+    n = len(kind)
+    i = np.arange(n)
+    back, on = np.maximum(i - gap, 0), np.minimum(i + ahead, n - 1)
+    lag = np.where((gap <= i) & ((gap == ahead) | (gap[back] == gap)), gap, np.where((ahead < n - i) & (ahead[on] == ahead), ahead, 0))
+    lag[(lag <= REACH) | (kind == 3)] = 0
+    out = np.zeros(n, dtype=bool)
+    counts = np.bincount(lag)
+    counts[0] = 0
+    if counts.max() < HALF // 2:  # half a window never has one lag
+        return out
+    some = np.nonzero(counts[lag] >= HALF // 2)[0]
+    key = np.sort(lag[some] * (n + 1) + some)
+    at = lag[some] * (n + 1)
+    alike = np.searchsorted(key, at + np.minimum(some + HALF, n - 1), "right") - np.searchsorted(key, at + np.maximum(some - HALF, 0), "left")
+    first = np.maximum(0, np.minimum(some - lag[some] // 2, n - lag[some]))
+    stop = np.zeros(n)
+    stop[stops] = 1
+    share = lambda x: ((c := np.concatenate([[0], np.cumsum(x)]))[first + lag[some]] - c[first]) / lag[some]
+    words, numbers = share(kind == 1), share(kind == 3)
+    out[some] = (alike >= 0.5 * size[some]) & (words <= np.where(share(stop) > 0, 0.12, 0.3)) & (numbers <= 0.15)
+    return total(out) >= 0.5 * size
+
+
 def _classify(tok: str) -> tuple[tuple[str, int], ...]:
     """The terms of a token with their kinds: 0 term, 1 function word, 2 link, 3 number."""
     core = _EDGE.sub("", tok).lower()
@@ -76,6 +104,7 @@ def _classified(tok: str, remembered: dict[str, tuple] = {}) -> tuple[tuple[str,
 def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
     """(words, spam words, spam words by reason) of a text."""
     items: list[tuple[str, int]] = []
+    stops: list[int] = []
     per_line: list[int] = []
     lines = text.splitlines()
     table = np.zeros(len(lines) + 1, dtype=bool)
@@ -91,6 +120,8 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
         before = len(items)
         for tok in (_HTML.sub(" ", line) if "<" in line else line).split():
             items += _classified(tok)
+            if tok[-1] in ".!?…。" and items:
+                stops.append(len(items) - 1)
         per_line.append(len(items) - before)
     n = len(items)
     if n == 0:
@@ -119,7 +150,7 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
     repeated = total(near) / np.maximum(1, n_content)
     fw_share = n_fw / size
     distinct_fw = _distinct(is_fw, gap)
-    regular = (repeated >= 0.62) & (n_content >= 6)
+    regular = (repeated >= 0.62) & (n_content >= 6) | _periodic(kind, gap, ahead, stops, total, size)
     listed = (size > HALF) & (distinct_fw <= 3) & (total(kind == 3) <= 0.3 * size) & (fw_share <= 0.35)
     doubtful = listed & (fw_share > 0.12) & (distinct_fw > 2)
     if doubtful.any():

@@ -62,3 +62,18 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, words int")
     assert sorted(r.doc_id for r in keyword_spam(df, "doc_id", "text").collect()) == [1, 1]
     assert keyword_spam(df.limit(0), "doc_id", "text").count() == 0
+
+
+PHRASE = "cheap wooden garden furniture and outdoor sofa sets for sale with free delivery in london"
+SENTENCE = "Several researchers trained deep networks on large image collections and measured accuracy with great care. "
+
+
+@pytest.mark.parametrize("text", [(PHRASE + " ") * 50, (PHRASE + ", ") * 6, PHRASE.join(["\n"] * 20), PROSE + (PHRASE + " ") * 12])
+def test_long_phrases_repeated(text):
+    n, spam, why = word_labels(text)
+    assert spam > 0.5 * n and max(why, key=why.get) == "repetition"
+
+
+@pytest.mark.parametrize("text", [PROSE * 30, GERMAN * 30, SENTENCE * 30, PHRASE + " " + PROSE * 3 + PHRASE + " " + PROSE * 3, "\n".join(f"{i} worker {i * 7} ended step {i * 3} of job {i * 5} after {i * 11} ms and {i * 13} rows" for i in range(40))])
+def test_repeated_sentences_are_not_spam(text):
+    assert share(text) <= 0.5
