@@ -12,7 +12,8 @@ lies in the window of at least two fifths of the arrays is verified by its exact
 cosine. Queries whose k-th verified neighbour is farther than the window widen it
 (virtual rehashing: the same arrays, longer runs) and count again.
 
-Equal vectors are searched once. Of a vector's copies only the k + 1 smallest ids can be among
+Cosines are rounded before the best are chosen, so ties go to the smaller id in a cell, too.
+Equal vectors are searched once; unit vectors are rounded, so copies of other length are equal. Of a vector's copies only the k + 1 smallest ids can be among
 anyone's neighbours, as copies tie with each other and ties go to the smaller id.
 
 Loss: a neighbour is missed only if it lies outside the cells that its query visits in every
@@ -44,6 +45,8 @@ WINDOW = 0.8
 WIDER = 1.4
 #: Beyond this share of verified pairs one matrix product is cheaper than single products.
 DENSE = 0.04
+#: Unit vectors are rounded to so many decimals, so that copies of other length or spelling become equal but for a few at a rounding edge.
+UNIT_DIGITS = 13
 _BLOCK = 256
 
 
@@ -68,7 +71,7 @@ def parse_vector(text: str | None, dim: int) -> np.ndarray | None:
     if top == 0:
         return None
     v = v / top
-    return v / np.sqrt((v * v).sum())
+    return np.round(v / np.sqrt((v * v).sum()), UNIT_DIGITS) + 0.0
 
 
 def usable_vectors(df: DataFrame, group: Column, vec_id: Column, text: Column, dim: Column) -> DataFrame:
@@ -122,8 +125,18 @@ class Trees:
         return row, node
 
 
+def _best(cos: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the ``k`` highest values of every row, k < their number; ties go to the first columns."""
+    best = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cos, best, axis=1).min(axis=1)
+    cut = np.nonzero((least > -2) & ((cos >= least[:, None]).sum(axis=1) > k))[0]
+    if len(cut):
+        best[cut] = np.argsort(-cos[cut], axis=1, kind="stable")[:, :k]
+    return best
+
+
 def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.ndarray, radius: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row of x, cosine) of the ``k`` best of ``x`` for each of ``q`` by collision counting; ``own`` is each query's own row of x, -1 where it isn't there."""
+    """(query, row of x, rounded cosine) of the ``k`` best of ``x``, ties to the earlier row, for each of ``q`` by collision counting; ``own`` is each query's own row of x, -1 where it isn't there."""
     n, m = len(x), len(lines)
     k = min(k, n)
     px = x @ lines.T
@@ -152,15 +165,15 @@ def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.nda
                 if found.mean() <= DENSE:
                     a, b = np.nonzero(found)
                     cos = np.full(found.shape, -2.0)
-                    cos[a, b] = np.einsum("ij,ij->i", part[a], x[b])
+                    cos[a, b] = np.round(np.einsum("ij,ij->i", part[a], x[b]), 9)
                 else:
-                    cos = np.where(found, part @ x.T, -2.0)
+                    cos = np.where(found, np.round(part @ x.T, 9), -2.0)
             else:
-                cos = part @ x.T
+                cos = np.round(part @ x.T, 9)
             mine = own[todo]
             there = mine >= 0
             cos[np.nonzero(there)[0], mine[there]] = -2.0
-            best = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), (len(todo), n))
+            best = _best(cos, k) if k < n else np.broadcast_to(np.arange(n), (len(todo), n))
             top = np.take_along_axis(cos, best, axis=1)
             far = np.sqrt(np.maximum(0, 2 - 2 * top.min(axis=1)))
             done = (far <= window) | last
@@ -217,7 +230,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 1024, tabl
         own = np.full(len(q), -1)
         own[is_data] = np.arange(len(x))
         a, b, c = cell_neighbours(x, q, own, tree.counting, tree.radius, k)
-        return pd.DataFrame({"grp": key[0], "rep": ids[a], "near": x_ids[b], "cosine": np.round(c, 9)})
+        return pd.DataFrame({"grp": key[0], "rep": ids[a], "near": x_ids[b], "cosine": c})
 
     placed = reps.select("grp", "rep", "vec").mapInPandas(place, "grp string, tree int, cell long, data boolean, rep long, vec binary")
     near = placed.groupBy("grp", "tree", "cell").applyInPandas(search, "grp string, rep long, near long, cosine double")

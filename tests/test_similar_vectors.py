@@ -64,3 +64,24 @@ def test_small_and_empty(spark):
     assert found(similar_vectors(frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])]), 3)) == {1: [2], 2: [1]}
     none = usable_vectors(spark.createDataFrame([(1, "x")], "id long, text string"), F.lit("g"), F.col("id"), F.col("text"), F.lit(2))
     assert similar_vectors(none, 3).count() == 0
+
+
+def test_rescaled_copies_tie_by_id(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(24)
+    vs = [(int(i), (v * rng.uniform(0.1, 9)).tolist()) for i in rng.permutation(150)] + [(1000 + i, rng.standard_normal(24).tolist()) for i in range(150)]
+    assert found(similar_vectors(frame(spark, vs), 5)) == brute(vs, 5)
+    assert frame(spark, vs[:150]).select("vec").distinct().count() < 40
+
+
+def test_cosines_that_tie_after_rounding_go_to_the_smaller_id():
+    from granary.operators.similar_vectors import cell_neighbours
+
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal(24)
+    x = v + 1e-7 * rng.standard_normal((200, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, near, c = cell_neighbours(x, x, np.arange(200), rng.standard_normal((32, 24)), 0.02, 5)
+    assert (c == 1.0).all()
+    for i in range(200):
+        assert sorted(near[q == i]) == [j for j in range(6) if j != i][:5]
