@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names of the folders that this process wrote; nothing else is ever deleted.
+_written: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written rounds: the session's ``spark.checkpoint.dir``, else one made here."""
@@ -31,14 +34,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path.rsplit("/", 1)[1])
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files behind a table from :func:`materialize` that no later plan reads."""
+    """Delete the files behind a table from :func:`materialize` that no later plan reads; other folders are left alone."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/granary-" in f:
+        name = f.rsplit("/", 1)[1]
+        if name in _written:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.discard(name)

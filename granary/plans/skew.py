@@ -12,17 +12,19 @@ HOT_ROWS = 50_000
 HOT_SHARE = 1_000
 
 
-def skew_join(rows: DataFrame, per_key: DataFrame, key: list[str]) -> DataFrame:
+def skew_join(rows: DataFrame, per_key: DataFrame, key: list[str], counted: DataFrame | None = None) -> DataFrame:
     """The inner join of ``rows`` with ``per_key``, which has one row a key.
 
-    Hot keys are counted first (combined in every task before the shuffle). Their rows stay where they are and get the at most
-    HOT_SHARE rows of hot keys by broadcast; all other rows are shuffled, and none of their keys is large. ``rows`` is read up to three times,
-    so it should be a written table.
+    Adaptive execution splits a hot partition only between map outputs, only beyond 256 MB and not below an aggregate of the same stage,
+    so hot keys are counted first (combined in every task before the shuffle). Their rows stay where they are and get the at most
+    HOT_SHARE rows of hot keys by broadcast; all other rows are shuffled, and none of their keys is large. Keys are counted in ``counted``, a written table
+    with the keys of ``rows``, or in ``rows`` itself, which should then be a written table.
     """
-    total = rows.count()
+    counted = rows if counted is None else counted
+    total = counted.count()
     if total < HOT_ROWS:
         return rows.join(per_key, key)
-    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= max(HOT_ROWS, total // HOT_SHARE)).select(*key)
+    hot = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= max(HOT_ROWS, total // HOT_SHARE)).select(*key)
     hot = materialize(hot)
     if hot.isEmpty():
         return rows.join(per_key, key)

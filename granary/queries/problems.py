@@ -73,7 +73,8 @@ SELECT a.rc_id AS rc_id_a, b.rc_id AS rc_id_b FROM e a JOIN e b ON a.g = b.g AND
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_groups(table(spark, d, "retrieved_chunks", "rc_id", "chunk_text"), "rc_id", "chunk_text")
+    chunks = table(spark, d, "retrieved_chunks", "rc_id", "chunk_text")
+    return near_duplicate_groups(chunks, "rc_id", "chunk_text", threshold=0.6, shingle=3, min_words=20)
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:

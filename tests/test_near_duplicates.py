@@ -4,7 +4,7 @@ import random
 import re
 
 from granary.operators.components import connected_components
-from granary.operators.near_duplicates import near_duplicate_groups, signature, similar_pairs
+from granary.operators.near_duplicates import near_duplicate_groups, signatures, similar_pairs
 
 
 def shingles(t, n):
@@ -62,8 +62,8 @@ def test_signature_estimates_similarity():
 
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (60, 20, 20))
-    x, y = signature(np.unique(np.concatenate([common, a]))), signature(np.unique(np.concatenate([common, b])))
-    assert abs((x == y).mean() - 0.6) < 0.15
+    x, y = signatures([np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))])
+    assert abs((x == y).mean() - 0.6) < 0.2
 
 
 def test_components(spark):
@@ -91,7 +91,7 @@ def sharing_a_bucket(rows, pairs, n):
     from granary.operators.near_duplicates import band_keys
 
     known = WordHashes()
-    keys = {i: set(band_keys(signature(np.unique(ngrams(known.of(words(t)), n)))).tolist()) for i, t in rows}
+    keys = {i: set(band_keys(signatures([np.unique(ngrams(known.of(words(t)), n))]))[0].tolist()) for i, t in rows}
     return {(a, b) for a, b in pairs if keys[a] & keys[b]}
 
 
@@ -110,3 +110,23 @@ def test_leaves_of_a_template_bucket_are_compared(spark, monkeypatch):
     for r in near_duplicate_groups(df, "id", "text", 0.6, 3).collect():
         groups.setdefault(r.group_id, []).append(r.id)
     assert sharing_a_bucket(rows, want, 3) <= {tuple(sorted(g)) for g in groups.values()}
+
+
+def test_hot_buckets_and_classes_in_blocks(spark, monkeypatch):
+    import granary.operators.near_duplicates as m
+
+    rows = template_heavy(80) + [(1000 + i, "one long text of which there are so many equal copies that they fill several blocks of rows and more than that") for i in range(40)]
+    want = truth(rows, 0.6, 3)
+    for name, value in (("HOT_ROWS", 8), ("HOT_SHARE", 1000), ("SAMPLED", 1), ("BLOCK", 16), ("FEW_IDS", 3)):
+        monkeypatch.setattr(m, name, value)
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r.id_a, r.id_b) for r in similar_pairs(df, "id", "text", 0.6, 3).collect()}
+    assert sharing_a_bucket(rows, want, 3) <= got <= want and len(want) >= 780
+
+
+def test_groups_are_the_components_of_pairs(spark):
+    rows = corpus(seed=8)
+    df = spark.createDataFrame(rows, "id long, text string")
+    edges = spark.createDataFrame(sorted(truth(rows, 0.6, 3)), "a long, b long")
+    want = {r.node: r.component for r in connected_components(edges).collect()}
+    assert {r.id: r.group_id for r in near_duplicate_groups(df, "id", "text", 0.6, 3).collect()} == want
