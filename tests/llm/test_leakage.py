@@ -2,7 +2,7 @@
 
 import random
 
-from granary.llm.leakage import PassageIndex, leaked_items, normal_words, without_leaks
+from granary.llm.leakage import PassageIndex, leaked_items, normal_words, without_leaks, words_alone
 
 WORDS = [f"w{i}x" for i in range(3000)]
 
@@ -43,6 +43,8 @@ def test_short_phrases_are_not_leaks():
 
 def test_divided_words_and_marks():
     assert normal_words("Foot-\nball, na\xadive Café\r\nDON'T")[0] == ["football", "naive", "cafe", "don", "t"]
+    for t in ("Foot-\nball, na\xadive Café\r\nDON'T", "a-\n\n b\xad c \xad d İstanbul-\nX 3-\n4 - \n", "", "—"):
+        assert words_alone(t) == normal_words(t)[0]
     ps = passages(5)
     text = ps[2][1].replace("w", "W")
     broken = "".join(c if i % 37 or not c.isalpha() else c + "-\n" for i, c in enumerate(text))
@@ -64,3 +66,43 @@ def test_table_and_removal(spark, monkeypatch):
     assert len(clean) == 1 and clean[0].leaked_items == 2 and "w" not in clean[0].clean_text.replace("before it", "")
     assert leaked_items(docs, "doc_id", "text", items.limit(0), "item_id", ["gold"]).count() == 0
     assert leaked_items(docs.limit(0), "doc_id", "text", items, "item_id", ["gold"]).count() == 0
+
+
+def prose(rnd, n):
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+def test_a_passage_of_many_items_leaks_them_all():
+    rnd = random.Random(4)
+    common = prose(rnd, 30)
+    for items in (200, 1000):
+        ps = [(i, prose(rnd, 40) + " " + common if i < 10 else prose(rnd, 40)) for i in range(items)]
+        assert {x[0] for x in PassageIndex(ps, 14).leaks(common, 14, 1 / 6)} == set(range(10))
+    ps = [(i, common) for i in range(50)]
+    assert {x[0] for x in PassageIndex(ps, 14).leaks("so " + common, 14, 1 / 6)} == set(range(50))
+
+
+def test_every_span_is_reported_and_removed(spark):
+    rnd = random.Random(5)
+    gold, answer = prose(rnd, 40), prose(rnd, 30)
+    doc = f"first {gold} then {answer} and again {gold} end"
+    got = PassageIndex([(1, gold), (1, answer)], 14).leaks(doc, 14, 1 / 6)
+    assert [x[0] for x in got] == [1, 1, 1]
+    items = spark.createDataFrame([(1, gold, answer)], "item_id long, gold string, answer string")
+    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    leaks = leaked_items(docs, "doc_id", "text", items, "item_id", ["gold", "answer"])
+    assert without_leaks(docs, "doc_id", "text", leaks).first().clean_text.split() == "first then and again end".split()
+
+
+def test_edits_anywhere_within_one_in_six():
+    rnd = random.Random(6)
+    ps = [(i, prose(rnd, 50)) for i in range(5)]
+    index = PassageIndex(ps, 14)
+    for size, wrong in ((14, 0), (16, 2), (18, 3), (24, 4)):
+        for _ in range(200):
+            cut = ps[2][1].split()[10 : 10 + size]
+            for k in rnd.sample(range(size), wrong):
+                cut[k] = "zzz"
+            first, last = next(k for k in range(size) if cut[k] != "zzz"), max(k for k in range(size) if cut[k] != "zzz")
+            if last - first + 1 == size:
+                assert 2 in {x[0] for x in index.leaks(prose(rnd, 30) + " " + " ".join(cut) + " " + prose(rnd, 30), 14, 1 / 6)}
