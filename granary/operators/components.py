@@ -19,6 +19,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    digest = F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))  # of a set of edges, in any order
+    before = e.agg(*digest).first()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of a node go to the smallest of the node and its neighbours
@@ -30,10 +32,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         small = skew_join(large, least, ["u"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct())
-        same = now.exceptAll(e).isEmpty() and e.exceptAll(now).isEmpty()
+        after = now.agg(*digest).first()
         discard(e)
         discard(large)
         e = now
-        if same:
+        if after == before:
             break
+        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
