@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda name, key: table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), F.col("paper_title").alias("paper"), "page", F.col("chunk_text").alias("text"))
+    part = lambda name, key: table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), F.col("paper_title").alias("paper"), "page", "section", F.col("chunk_text").alias("text"))
     return part("expanded_evidence", "ev_id").unionByName(part("retrieved_chunks", "rc_id"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from granary.llm.scan_noise import Judge, Paper, letters, margin_lines, numeral, repaired_texts, scan_noise
+from granary.llm.scan_noise import Judge, Paper, letters, margin_lines, numeral, repaired_texts, scan_noise, skeleton
 
 VOCABULARY = frozenset("the quick brown fox jumps over a lazy dog because hyphenation is hard to repair in long documents with many words section-aware low-rank system removes noise from pages before reading every line moment corner dinner number and or of".split())
 PAPER = Paper("On the Noise of Scanned Pages", "Ada Smith;Bo Jones")
@@ -73,3 +73,42 @@ def test_tables(spark):
     assert len(fixed) == 311 - 0 and fixed[2000] == (True, "the quick brown fox documents")
     assert all(not fixed[i][0] and fixed[i][1] == rows[i][4] for i in range(300))
     assert scan_noise(texts.limit(0), papers).count() == 0
+
+
+def test_page_edges():
+    assert kinds("the quick brown fox jumps.\nThe dog is lazy.\nAda Smith\nThe fox jumps.\nThe dog is lazy.") == set()  # a name in mid-page
+    assert kinds("the quick brown fox jumps.\nThe dog\nAda Smith\nis lazy because the\nfox jumps.") == {"running_header"}
+    assert kinds("Ada Smith\nThe quick brown fox jumps.\nThe dog is lazy.\nThe fox jumps.") == {"running_header"}
+
+
+def test_skeletons_and_sequences():
+    assert skeleton("Annals of Modern Reading  12") == skeleton("Anna1s 0f Moclern Reacling  14") != skeleton("Annals of Ancient Reading")
+    off = Paper("T", None, frozenset(), frozenset({100}))
+    lines = ["a long line of text that goes on and", "112", "and ends here."]
+    assert margin_lines(lines, off, 12) == {1: {"page_number"}} and margin_lines(lines, PAPER, 12) == {}
+
+
+def scans(spark, copies):
+    rnd = random.Random(1)
+    words = sorted(w for w in VOCABULARY if "-" not in w and len(w) > 2)
+    sentence = lambda: " ".join(rnd.choice(words) for _ in range(12))
+    rows = [("t", i, f"P{i % 7}", 1, sentence() + ".\n" + sentence()) for i in range(150 * copies)]
+    own = random.Random(2)
+    pages = [(f"{own.choice(words)} tbe qnick brovvn {own.choice(words)}-\n{own.choice(words)} docu-\nments", 4), (f"the dog\nAnna1s Of Careful Reading\n{own.choice(words)} fox", 5)]
+    pages += [(f"the dog and {own.choice(words)}\nAnnals Of Careful Reading\n{own.choice(words)} fox", p) for p in (6, 7, 8)]
+    pages += [(f"the quick brown fox {own.choice(words)} over the\n{p + 30}\nlazy dog and {own.choice(words)} the fox", p) for p in (10, 11, 12)]
+    rows += [("u", i, "Q", p, t) for i, (t, p) in enumerate(pages)]
+    texts = spark.createDataFrame(rows, "table_name string, row_key long, paper string, page int, text string")
+    return texts, spark.createDataFrame([("Q", "Ada Smith")], "paper_title string, authors string")
+
+
+def test_same_result_in_a_larger_corpus_and_by_joins(spark, monkeypatch):
+    import granary.llm.scan_noise as m
+
+    got = lambda copies: sorted((r.row_key, r.noise) for r in scan_noise(*scans(spark, copies)).filter("table_name = 'u'").collect())
+    few = got(1)
+    assert few == [(0, "hyphenation"), (0, "misread"), (1, "running_header"), (2, "running_header"), (3, "running_header"), (4, "running_header"), (5, "page_number"), (6, "page_number"), (7, "page_number")]
+    assert got(10) == few
+    monkeypatch.setattr(m, "MAX_WORDS", 3)
+    monkeypatch.setattr(m, "_BROADCAST_BYTES", 40)
+    assert got(1) == few
