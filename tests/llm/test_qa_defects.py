@@ -2,7 +2,7 @@
 
 import pytest
 
-from granary.llm.qa_defects import defect, defective_pairs, open_structures
+from granary.llm.qa_defects import defect, defective_pairs, open_structures, tile
 
 Q = "What recall does Alpha reach on the Beta set?"
 E = "Alpha reaches 12.3 points."
@@ -43,11 +43,36 @@ def test_absence_is_an_answer_where_expected():
 
 
 def test_pushdown_parser():
-    assert open_structures("f(a[1], {b})") == []
-    assert open_structures("see (Table 2 and [3") == ["(", "["]
-    assert open_structures("1) one\n2) two") == []
+    assert open_structures("f(a[1], {b}).") == []
+    assert open_structures("see (Table 2 and [3") == ["sentence", "(", "["]
+    assert open_structures("1) one\n2) two") == ["item", "sentence"]
+    assert open_structures("1) One.\n2) Two.") == []
     assert open_structures("```\n(\n```") == []
-    assert open_structures("don't say “this") == ["“"]
+    assert open_structures("(as here\n```\nx\n```") == ["("]
+    assert open_structures("don't say “this") == ["sentence", "“"]
+    assert open_structures("<div><b>hello") == ["<div>", "<b>", "sentence"]
+    assert open_structures("<div>a <b>word</b><br>.</div>") == []
+
+
+@pytest.mark.parametrize(
+    "answer",
+    ["Unfortunately that falls outside what I am able to help with.", "That's beyond my capabilities.", "I lack the information needed.", "申し訳ありませんが、その質問にはお答えできません。", "抱歉，我无法回答这个问题。",
+     "Thank you so much for this very interesting question about the recall of Alpha on the Beta set. I am unable to answer it.", "Les extraits fournis ne me permettent pas de répondre.", "Diese Frage lässt sich mit den vorliegenden Auszügen nicht beantworten.",
+     "The provided passages do not allow me to say.", "Helaas kan ik deze vraag niet beantwoorden.", "К сожалению, я не могу ответить на этот вопрос.", "Questa domanda non può ricevere una risposta.", "We do not have enough information."],
+)
+def test_refusals(answer):
+    assert defect(Q, answer, E) == "refusal"
+
+
+def test_bare_markers_and_long_copies():
+    assert defect(Q, "1. First we index every page.\n2.", E) == "truncated" and defect(Q, "9.", E) is None
+    assert defect(Q, " ".join([Q] * 300), E) == "copied_question"
+
+
+def test_tiles_use_every_word_once():
+    q, a = tile("a b c d e".split(), "a b c x d e a b".split())
+    assert q == {0, 1, 2, 3, 4} and a == {0, 1, 2, 4, 5, 6, 7}
+    assert tile("a b c".split(), "c b a".split()) == (set(), set())
 
 
 def test_table(spark):
