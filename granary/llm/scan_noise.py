@@ -173,10 +173,12 @@ class Paper:
             return 0
         if _ET_AL.match(line):
             return 2
-        key = letters(line)
         split = line.split()
-        words = [letters(w) for w in split]
         caps = sum(w[0].isupper() for w in split) / len(split)
+        if caps < 0.3 and len(split) > 8:
+            return 0  # prose
+        key = letters(line)
+        words = [letters(w) for w in split]
         if caps >= 0.5 and (_near(words[0], "proc", 0.75) or _keyword(words[:1], _VENUE)) and _keyword(words, _VENUE) >= 2:
             return 2
         if len(words) <= 8 and _keyword(words[:3], _DRAFT) and _keyword(words, _STATUS):
@@ -266,27 +268,23 @@ def margin_lines(lines: list[str], paper: Paper, page: int | None) -> dict[int,
     return out
 
 
-def edge_lines(text: str) -> list[str]:
-    """The short capitalised lines at the page edges of a text, without page numbers."""
+def edge_lines(text: str, page: int | None) -> tuple[list[str], list[int]]:
+    """The lines at the page edges of a text that are formed like headers, without page numbers; and how far bare numbers there are from the page."""
     lines = _lines(text)
     filled = [i for i, x in enumerate(lines) if x.strip()]
-    out = []
+    heads, numbers = [], []
     for k, i in enumerate(filled):
         x = lines[i].strip()
-        if 6 <= len(x) <= 100 and at_edge(lines, filled, k):
+        if len(x) <= 4:
+            value = None if page is None or x[0].isalpha() and not _ROMAN.match(x) or not at_edge(lines, filled, k) else bare_number(lines, filled, k, page, None)
+            if value is not None:
+                numbers.append(value - page)
+        elif 6 <= len(x) <= 100 and (x[0].isupper() or x[0].isdigit()):
             tail = _TAIL.match(x)
             x = (tail.group(1) or tail.group(4)) if tail else x
-            if may_repeat(x):
-                out.append(x)
-    return out
-
-
-def edge_numbers(text: str, page: int) -> list[int]:
-    """How far the bare numbers at the page edges of a text are from its page."""
-    lines = _lines(text)
-    filled = [i for i, x in enumerate(lines) if x.strip()]
-    values = [bare_number(lines, filled, k, page, None) for k, i in enumerate(filled) if len(lines[i].strip()) <= 4 and at_edge(lines, filled, k)]
-    return [v - page for v in values if v is not None]
+            if may_repeat(x) and at_edge(lines, filled, k):
+                heads.append(x)
+    return heads, numbers
 
 
 class _Words:
@@ -483,9 +481,9 @@ def corpus_statistics(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
                 words.update(set(_LOWER.findall(_DIVIDED.sub(" ", t) if _MAYBE_DIVIDED.search(t) else t)))
                 if paper is not None and ("\n" in t or "\r" in t):
                     at = -1 if page is None or page != page else int(page)
-                    heads.update(("h", paper, skeleton(x), at) for x in edge_lines(t))
-                    if at >= 0:
-                        heads.update(("p", paper, str(x), at) for x in edge_numbers(t, at))
+                    own, numbers = edge_lines(t, at if at >= 0 else None)
+                    heads.update(("h", paper, skeleton(x), at) for x in own)
+                    heads.update(("p", paper, str(x), at) for x in numbers)
             if heads:
                 yield pd.DataFrame(sorted(heads), columns=["kind", "paper", "key", "n"])
             if len(words) > _FLUSH:
@@ -511,12 +509,13 @@ def corpus_statistics(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     if "section" in texts.columns:
         names = texts.select("section").filter("section IS NOT NULL").distinct().select(F.pandas_udf(lambda c: c.map(skeleton), "string")("section").alias("line"))
         edge = edge.join(names, "line", "left_anti")
+    edge = materialize(edge)
     wide = edge.groupBy("line").agg(F.count(F.lit(1)).alias("papers")).filter(F.col("papers") >= HEADED_PAPERS).select(F.lit(None).cast("string").alias("paper"), "line")
     own = edge.filter(F.col("pages") >= HEADED_PAGES).select("paper", "line")
     number = counted.filter("kind = 'p'").groupBy("paper", F.col("key").cast("int").alias("offset")).agg(F.countDistinct("n").alias("pages"))
     every = counted.filter("kind = 'p'").groupBy("paper").agg(F.countDistinct("n").alias("all_pages"))
     number = number.join(every, "paper").filter((F.col("pages") >= NUMBERED_PAGES) & (2 * F.col("pages") > F.col("all_pages"))).select("paper", "offset")
-    return materialize(words.join(far, "word", "left_anti")), own.unionByName(wide), number
+    return materialize(words.join(far, "word", "left_anti")), materialize(own.unionByName(wide)), number
 
 
 def _asked(text: str, common: frozenset[str]) -> set[str]:
