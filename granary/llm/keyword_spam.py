@@ -1,10 +1,14 @@
 """Pages made of repeated keywords, links or product tags instead of sentences.
 
-Every text is read as a sequence of terms. For each term the gaps to its last and next occurrence are taken
-(recurrence), and for windows of terms the share of positions at which the text repeats itself at one common lag
-(positional autocorrelation over a range of lags). Sentences have function words and hardly repeat a content word within a few
-words; stuffed text repeats the same few terms at short and regular gaps, and lists of nouns have distinct terms but no
-function words at all. A longer keyword phrase comes again and again at one common lag, which the gaps give for lags of any length. A word is spam if its window is regular in this sense or it stands in a link line, a tag line or a noun list;
+Every text is read as a sequence of terms. Four measures are taken in windows of terms:
+
+* recurrence gaps: the gaps from a term to its last and next occurrence. Sentences hardly repeat a content word within a few words, stuffed text does;
+* spread of gaps: a term whose gaps hardly differ, anywhere in the text, recurs unnaturally regularly (gaps of words in prose spread like their mean);
+* positional autocorrelation: the share of positions at which the text repeats itself at one common lag, of any length, so that long keyword phrases are found, too;
+* function words: lists of nouns have distinct terms but no function words at all. In languages without a word list (and before the language is known) a
+  window that is formed into sentences is none, so prose in any language passes; unspaced scripts are cut into runs, of which those of kana or grammatical characters are function words.
+
+Repetition of whole sentences isn't that of keywords. A word is spam if its window is regular in one of these senses, or it stands in a link line, a tag line or a noun list;
 a page is spam if over half of its words are.
 """
 
@@ -18,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.function_words import EVERY
+from granary.llm.function_words import EVERY, FUNCTION_WORDS
 
 #: Terms repeat closely if they do within so many positions.
 REACH = 8
@@ -30,6 +34,22 @@ HALF = 12
 LEAST_WORDS = 20
 LEAST_LINKS = 5
 
+#: A term recurs regularly if its gaps, at least so many, spread by at most this share of their mean, which spans at most so many terms.
+STEADY_GAPS = 3
+STEADY_SPREAD = 0.35
+STEADY_MEAN = 6 * HALF
+#: A text is in a language with a word list if so many of its terms are function words of that one language.
+KNOWN_SHARE = 0.12
+#: Sentences have at most so many terms.
+LONGEST = 60
+
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_KANA = re.compile("[\u3041-\u309f]")
+#: Grammatical characters of Chinese. Fixed values.
+_GRAMMATICAL = "的了是在不和有这這中为為以与與及或但就都也而之其被把对對从從到于於"
+_RUNS = re.compile("[\u3041-\u309f]+|[\u30a0-\u30ff]+|[\u3400-\u9fff々]+|[^\\W\u3040-\u30ff\u3400-\u9fff]+")
+_CHINESE = re.compile(f"[{_GRAMMATICAL}]|(?:(?![{_GRAMMATICAL}])[\u3400-\u9fff])+|[^\\W\u3400-\u9fff]+")
+
 _LINK = re.compile(r"(?:https?|ftp)://|^www\.|^[^\W_][\w-]*(?:\.[^\W_][\w-]*)*\.[a-z]{2,}(?:[/:?)\],;]|$)", re.IGNORECASE)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _HTML = re.compile(r"</?[a-z][a-z0-9]*\b|(?<=[\"'])>", re.IGNORECASE)
@@ -50,8 +70,8 @@ def _distinct(counted: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n]
 
 
-def _periodic(kind: np.ndarray, gap: np.ndarray, ahead: np.ndarray, stops: list[int], total: Callable, size: np.ndarray) -> np.ndarray:
-    """Positions where the text comes for the third time or more at one common lag, of any length, and what comes again isn't a sentence.
+def _autocorrelated(kind: np.ndarray, gap: np.ndarray, ahead: np.ndarray, stops: list[int], total: Callable, size: np.ndarray) -> np.ndarray:
+    """Positions in whose window the text comes for the third time or more at one common lag, of any length, at half of the positions, and what comes again isn't a sentence.
 
     A sentence has many function words in one period, or at least a few of them and a full stop.
     """
@@ -78,6 +98,42 @@ def _periodic(kind: np.ndarray, gap: np.ndarray, ahead: np.ndarray, stops: list[
     return total(out) >= 0.5 * size
 
 
+def _steady(codes: np.ndarray, order: np.ndarray, step: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Positions of terms whose gaps hardly spread: the standard deviation of all gaps of a term against their mean."""
+    of = codes[order][1:][same]
+    gaps = step[same].astype(float)
+    count = np.bincount(of, minlength=codes.max() + 1)
+    mean = np.bincount(of, gaps, len(count)) / np.maximum(1, count)
+    spread = np.sqrt(np.maximum(0, np.bincount(of, gaps * gaps, len(count)) / np.maximum(1, count) - mean * mean))
+    return ((count >= STEADY_GAPS) & (spread <= STEADY_SPREAD * mean) & (mean <= STEADY_MEAN))[codes]
+
+
+_LANGUAGES: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in _words:
+        _LANGUAGES.setdefault(_w, []).append(_lang)
+
+
+def _known_language(terms: tuple[str, ...], kind: np.ndarray) -> bool:
+    """Whether enough of the terms are function words of one language."""
+    counts: dict[str, int] = {}
+    for i in np.nonzero(kind == 1)[0].tolist():
+        for lang in _LANGUAGES.get(terms[i], ("unspaced",)):
+            counts[lang] = counts.get(lang, 0) + 1
+    return max(counts.values(), default=0) >= KNOWN_SHARE * len(terms)
+
+
+def _in_sentences(stops: list[int], n: int) -> np.ndarray:
+    """Positions inside sentences: 4 to LONGEST terms up to a stop."""
+    out = np.zeros(n, dtype=bool)
+    last = -1
+    for at in stops:
+        if 4 <= at - last <= LONGEST:
+            out[last + 1 : at + 1] = True
+        last = at
+    return out
+
+
 def _classify(tok: str) -> tuple[tuple[str, int], ...]:
     """The terms of a token with their kinds: 0 term, 1 function word, 2 link, 3 number."""
     core = _EDGE.sub("", tok).lower()
@@ -88,6 +144,8 @@ def _classify(tok: str) -> tuple[tuple[str, int], ...]:
         return (*((w, 0) for w in inner), ("\x00link", 2))
     if _NUMBER.match(core):
         return ((core, 3),)
+    if _UNSPACED.search(core):
+        return tuple((r, int(bool(_KANA.match(r)) or r in _GRAMMATICAL)) for r in (_RUNS if _KANA.search(core) else _CHINESE).findall(core))
     return ((core, int(core in EVERY or ("'" in core or "’" in core) and re.split("['’]", core)[0] in EVERY)),)
 
 
@@ -120,7 +178,7 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
         before = len(items)
         for tok in (_HTML.sub(" ", line) if "<" in line else line).split():
             items += _classified(tok)
-            if tok[-1] in ".!?…。" and items:
+            if tok[-1] in ".!?…。！？।" and items:
                 stops.append(len(items) - 1)
         per_line.append(len(items) - before)
     n = len(items)
@@ -150,8 +208,15 @@ def word_labels(text: str) -> tuple[int, int, dict[str, int]]:
     repeated = total(near) / np.maximum(1, n_content)
     fw_share = n_fw / size
     distinct_fw = _distinct(is_fw, gap)
-    regular = (repeated >= 0.62) & (n_content >= 6) | _periodic(kind, gap, ahead, stops, total, size)
     listed = (size > HALF) & (distinct_fw <= 3) & (total(kind == 3) <= 0.3 * size) & (fw_share <= 0.35)
+    steady = _steady(codes, order, step, same) & (kind == 0)
+    stopped = np.bincount(stops, minlength=n)[:n] > 0
+    steady = (total(steady) >= 0.62 * n_content) & (n_content >= 6) & (fw_share <= np.where(total(stopped) > 0, 0.12, 0.2)) & (total(kind == 3) <= 0.15 * size)
+    spoken = np.zeros(n, dtype=bool)
+    if (listed | steady).any() and not _known_language(terms, kind):
+        spoken = _in_sentences(stops, n)
+    listed, steady = listed & ~spoken, steady & ~spoken
+    regular = (repeated >= 0.62) & (n_content >= 6) | steady | _autocorrelated(kind, gap, ahead, stops, total, size) & ~spoken
     doubtful = listed & (fw_share > 0.12) & (distinct_fw > 2)
     if doubtful.any():
         # positional autocorrelation: the best single lag at which terms come again

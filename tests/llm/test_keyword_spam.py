@@ -77,3 +77,36 @@ def test_long_phrases_repeated(text):
 @pytest.mark.parametrize("text", [PROSE * 30, GERMAN * 30, SENTENCE * 30, PHRASE + " " + PROSE * 3 + PHRASE + " " + PROSE * 3, "\n".join(f"{i} worker {i * 7} ended step {i * 3} of job {i * 5} after {i * 11} ms and {i * 13} rows" for i in range(40))])
 def test_repeated_sentences_are_not_spam(text):
     assert share(text) <= 0.5
+
+
+FINNISH = "Kaupunginhallitus päätti maanantaina, että vanhan sillan korjaus alkaa keväällä. Työt kestävät arviolta kaksi vuotta ja maksavat miljoonia euroja. Asukkaat toivovat kevyen liikenteen väylää, mutta rahoitus puuttuu vielä. Liikenne ohjataan kiertotielle koko rakennustyön ajaksi. Päätöksestä voi valittaa hallinto-oikeuteen. "
+TURKISH = "Belediye meclisi pazartesi günü eski köprünün onarımına ilkbaharda başlanmasına karar verdi. Çalışmalar yaklaşık iki yıl sürecek ve milyonlarca liraya mal olacak. Mahalle sakinleri bisiklet yolu istiyor, ancak bütçe henüz yeterli değil. Trafik inşaat boyunca çevre yoluna yönlendirilecek. Karara itiraz etmek isteyenler mahkemeye başvurabilir. "
+JAPANESE = "市議会は月曜日に古い橋の修理を春に始めることを決めました。工事には約二年かかり、数億円の費用が必要になる見込みです。住民は自転車道を求めていますが、予算はまだ足りません。工事中の交通は迂回路に誘導されます。 "
+CHINESE = "市议会在星期一决定春天开始修理旧桥。工程大约需要两年，并且要花费数百万元。居民希望有自行车道，但是目前的预算还不够。施工期间的交通将被引导到绕行的道路上。 "
+
+
+@pytest.mark.parametrize("text", [FINNISH, FINNISH * 4, TURKISH, TURKISH * 4, JAPANESE * 2, CHINESE * 2])
+def test_prose_of_languages_without_word_lists(text):
+    assert share(text) <= 0.5
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " ".join(RND.choice("halvat kengät laukut alennus ilmainen toimitus osta netistä kellot".split()) for _ in range(90)),
+        ", ".join("saapas kenkä laukku kello sormus huivi hattu paita housu takki hame mekko sukka vyö reppu lompakko sateenvarjo käsine pipo neule".split()),
+        " ".join(RND.choice("ucuz ayakkabı çanta indirim ücretsiz kargo saat online satın fiyat".split()) for _ in range(90)),
+        " ".join(RND.choice("激安 バッグ 通販 財布 送料無料 ブランド 時計 人気".split()) for _ in range(60)),
+        " ".join(RND.choice("便宜 鞋子 包包 打折 免费 手表 正品 网购".split()) for _ in range(60)),
+    ],
+)
+def test_spam_of_languages_without_word_lists(text):
+    assert share(text) > 0.5
+
+
+def test_regular_gaps_over_long_spans():
+    rnd = random.Random(3)
+    keys = [f"key{i}word" for i in range(9)]
+    text = " ".join(" ".join(k if rnd.random() < 0.9 else f"filler{rnd.randint(0, 10**6)}" for k in keys) + " " + " ".join(f"x{rnd.randint(0, 10**6)}y" for _ in range(rnd.randint(3, 5))) for _ in range(30))
+    n, spam, why = word_labels(text)
+    assert spam > 0.5 * n
