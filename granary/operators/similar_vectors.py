@@ -3,14 +3,18 @@
 Index. Every vector is projected on single random directions. In each of ``tables``
 trees the projections of one direction after another are sorted and cut at the
 median, until a cell holds about ``cell_rows`` vectors; cuts come from a sample of at
-most ``SAMPLE`` vectors a group (a fixed bound), but every vector is put into a cell of every tree.
+most ``SAMPLE`` vectors a group (a fixed bound), but every vector is put into a cell of every tree. Groups of up to
+``cell_rows`` vectors are one cell.
 
 Search. A query opens a window around its own projection and visits every cell that
-the window reaches. In a cell, the vectors are held as ``PROJECTIONS`` sorted
-projection arrays; a query's window is a run of ranks in each of them, and a vector that
-lies in the window of at least two fifths of the arrays is verified by its exact
+the window reaches. In a cell, the vectors stand in ``PROJECTIONS`` sorted
+projection arrays, each cut into 256 runs of equal length; a query's window is a range of runs in each of them, and a vector whose runs
+lie in the windows of at least two fifths of the arrays is verified by its exact
 cosine. Queries whose k-th verified neighbour is farther than the window widen it
-(virtual rehashing: the same arrays, longer runs) and count again.
+(virtual rehashing: the same arrays, longer windows) and count again. Runs are bytes, so counting the collisions of a vector costs less than its cosine.
+
+A cell that is far larger than the others, as where vectors crowd or where the sample is too small for the group, is searched in a grid of blocks of ``BLOCK_ROWS``
+vectors and ``BLOCK_ROWS`` queries, each a task of its own, with the same result.
 
 Cosines are rounded before the best are chosen, so ties go to the smaller id in a cell, too.
 Equal vectors are searched once; unit vectors are rounded, so copies of other length are equal. Of a vector's copies only the k + 1 smallest ids can be among
@@ -23,8 +27,10 @@ brute force; where a group fits one cell every pair is within reach.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +53,13 @@ WIDER = 1.4
 DENSE = 0.04
 #: Unit vectors are rounded to so many decimals, so that copies of other length or spelling become equal but for a few at a rounding edge.
 UNIT_DIGITS = 13
-_BLOCK = 256
+#: A block of a cell holds about so many vectors or queries.
+BLOCK_ROWS = 16384
+#: Bytes of trees that are broadcast at once; more groups take more passes.
+TREE_BYTES = 64 << 20
+#: Ids of copies that are broadcast to leave them out (16 MB).
+FEW_IDS = 1_000_000
+_BLOCK = 64
 
 
 def _refuse(token: str) -> float:
@@ -142,11 +154,10 @@ def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.nda
     px = x @ lines.T
     order = np.argsort(px, axis=0, kind="stable")
     sorted_px = np.take_along_axis(px, order, axis=0)
-    rank = np.empty((m, n), dtype=np.int32 if n >= 65535 else np.uint16)
+    run = np.empty((m, n), dtype=np.uint8)
+    runs = (np.arange(n) * 256 // n).astype(np.uint8)
     for i in range(m):
-        rank[i, order[:, i]] = np.arange(n)
-    unsigned = np.uint32 if n >= 65535 else np.uint16
-    rank = rank.view(unsigned) if rank.dtype != unsigned else rank
+        run[i, order[:, i]] = runs
     out_q, out_x, out_c = [], [], []
     for start in range(0, len(q), _BLOCK):
         todo = np.arange(start, min(start + _BLOCK, len(q)))
@@ -157,10 +168,14 @@ def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.nda
             if not last:
                 pq = part @ lines.T
                 hits = np.zeros((len(todo), n), dtype=np.uint8)
+                away, inside = np.empty_like(hits), np.empty(hits.shape, dtype=bool)
                 for i in range(m):
-                    lo = np.searchsorted(sorted_px[:, i], pq[:, i] - window, "left")
-                    width = np.searchsorted(sorted_px[:, i], pq[:, i] + window, "right") - lo
-                    hits += (rank[i][None, :] - lo.astype(unsigned)[:, None]) < width.astype(unsigned)[:, None]  # below lo it wraps round
+                    first = np.searchsorted(sorted_px[:, i], pq[:, i] - window, "left") * 256 // n
+                    last_run = np.maximum(np.searchsorted(sorted_px[:, i], pq[:, i] + window, "right") - 1, 0) * 256 // n
+                    first = np.minimum(first, last_run).astype(np.uint8)
+                    np.subtract(run[i][None, :], first[:, None], out=away)  # below the first run it wraps round
+                    np.less_equal(away, (last_run.astype(np.uint8) - first)[:, None], out=inside)
+                    np.add(hits, inside.view(np.uint8), out=hits)
                 found = hits >= COLLISIONS * m
                 if found.mean() <= DENSE:
                     a, b = np.nonzero(found)
@@ -183,7 +198,22 @@ def cell_neighbours(x: np.ndarray, q: np.ndarray, own: np.ndarray, lines: np.nda
     return np.concatenate(out_q or [np.array([], int)]), np.concatenate(out_x or [np.array([], int)]), np.concatenate(out_c or [np.array([])])
 
 
-def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 1024, tables: int = 3, seed: int = 7) -> DataFrame:
+def _trees(members: DataFrame, sizes: DataFrame, cell_rows: int, tables: int, seed: int) -> DataFrame:
+    """(grp, bytes, data): the trees of every group of more than ``cell_rows`` vectors, from a sample of at most 2 x SAMPLE of them."""
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vkey")
+        tree = Trees(np.array([np.frombuffer(v) for v in rows["vec"]][: 2 * SAMPLE]), int(rows["n"].iloc[0]), cell_rows, tables, seed)
+        data = pickle.dumps(tree)
+        return pd.DataFrame({"grp": [key[0]], "bytes": [len(data)], "data": [data]})
+
+    big = sizes.filter(F.col("n") > cell_rows)
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
+    some = members.join(big, "grp").filter(F.pmod(F.xxhash64("vkey"), F.lit(1_000_000)) < share * 1_000_000)
+    return materialize(some.groupBy("grp").applyInPandas(build, "grp string, bytes long, data binary"))
+
+
+def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 4096, tables: int = 2, seed: int = 7) -> DataFrame:
     """(grp, id, neighbour, cosine, position): the ``k`` most similar others of every row of ``vectors``.
 
     ``vectors`` is (grp string, id long, vec packed unit doubles), as from :func:`usable_vectors`; ids are unique within
@@ -191,55 +221,100 @@ def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 1024, tabl
     A group of one row gives none, one of up to k rows gives all others; an empty table
     gives an empty one. Other columns are not read.
     """
-    spark = vectors.sparkSession
     members = materialize(vectors.select("grp", "id", F.md5("vec").alias("vkey"), "vec"))
+    keys = members.select("grp", "vkey", "id")
+    classes = materialize(keys.groupBy("grp", "vkey").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = F.row_number().over(Window.partitionBy("grp", "vkey").orderBy("id"))
-    reps = members.groupBy("grp", "vkey").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"))
-    reps = materialize(reps)
-    copies = members.select("grp", "vkey", "id").withColumn("__r", first).filter(F.col("__r") <= k + 1)
-    copies = copies.join(reps.select("grp", "vkey", "rep"), ["grp", "vkey"]).select("grp", "rep", "id")
-
-    sizes = {r["grp"]: r["n"] for r in reps.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    trees = {}
-    for g, n in sizes.items():
-        of = reps.filter(F.col("grp") == g)
-        if n > SAMPLE:
-            of = of.filter(F.pmod(F.xxhash64("vkey"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n)).limit(2 * SAMPLE)
-        trees[g] = Trees(np.array([np.frombuffer(r["vec"]) for r in of.select("vec").collect()]), n, cell_rows, tables, seed)
-    shared = spark.sparkContext.broadcast(trees)
+    # a copy's place among the copies is needed for few of them: the k + 1 smallest ids of each vector
+    copies = skew_join(keys, classes.filter("copies > 1").select("grp", "vkey", "rep"), ["grp", "vkey"], counted=keys)
+    others = materialize(copies.filter("id <> rep").select("grp", "id"))
+    copies = copies.withColumn("__r", first).filter(F.col("__r") <= k + 1).select("grp", "rep", "id")
+    copies = copies.unionByName(classes.filter("copies = 1").select("grp", "rep", F.col("rep").alias("id")))
+    few = others.count() <= FEW_IDS
+    reps = members.join(F.broadcast(others) if few else others, ["grp", "id"], "left_anti").select("grp", F.col("id").alias("rep"), "vkey", "vec")
+
+    sizes = materialize(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")))
+    trees = _trees(reps, sizes, cell_rows, tables, seed)
+    passes = 1 + int((trees.agg(F.sum("bytes")).first()[0] or 0) // TREE_BYTES)
+    turn = F.pmod(F.xxhash64("grp"), F.lit(passes))
+    near = None
+    for n in range(passes):  # one but for tens of thousands of large groups
+        some = reps if passes == 1 else reps.filter(turn == n)
+        found = _searched(some, trees if passes == 1 else trees.filter(turn == n), k, tables)
+        near = found if near is None else near.unionByName(found)
+    # a pair found from one side is a candidate of the other side, too
+    ways = F.array(F.struct("rep", "near"), F.struct(F.col("near").alias("rep"), F.col("rep").alias("near")))
+    near = near.select("grp", "cosine", F.explode(ways).alias("w")).groupBy("grp", "w.rep", "w.near").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("grp", "rep").orderBy(F.desc("cosine"), "near")
+    near = near.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).select("grp", "rep", "near", "cosine")
+    return _of_members(keys, classes.select("grp", "vkey", "rep"), copies, materialize(near), k)
+
+
+def _searched(reps: DataFrame, trees: DataFrame, k: int, tables: int) -> DataFrame:
+    """(grp, rep, near, cosine): the ``k`` best of each cell that a vector visits. The trees are broadcast; groups without any are one cell."""
+    spark = reps.sparkSession
+    shared = spark.sparkContext.broadcast({r["grp"]: pickle.loads(r["data"]) for r in trees.select("grp", "data").toLocalIterator()})
+
+    def visits(own: pd.DataFrame, g: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(tree, rows, cells, whether it is the row's own cell) of a batch of one group."""
+        tree = shared.value.get(g)
+        if tree is None or not tree.depth:
+            yield 0, np.arange(len(own)), np.zeros(len(own), dtype=np.int64), np.ones(len(own), dtype=bool)
+            return
+        x = np.array([np.frombuffer(v) for v in own["vec"]])
+        for t in range(tables):
+            row, cell = tree.cells(x, t, WINDOW * tree.radius)
+            home = np.zeros(len(x), dtype=np.int64)
+            for d in range(tree.depth):
+                home = 2 * home + (x @ tree.lines[t, d] > tree.cuts[t][d][home])
+            yield t, row, cell, cell == home[row]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, own in b.groupby("grp"):
+                for t, _, cell, at_home in visits(own, g):
+                    c = pd.DataFrame({"cell": cell, "data": at_home.astype(int), "queries": 1}).groupby("cell", as_index=False).sum()
+                    yield c.assign(grp=g, tree=t)[["grp", "tree", "cell", "data", "queries"]]
+
+    counted = reps.select("grp", "vec").mapInPandas(count, "grp string, tree int, cell long, data long, queries long")
+    counted = counted.groupBy("grp", "tree", "cell").agg(F.sum("data").alias("data"), F.sum("queries").alias("queries"))
+    large = counted.filter(F.col("queries") > 2 * BLOCK_ROWS)  # at most one for every 2 x BLOCK_ROWS visits
+    grid = {(r["grp"], r["tree"], r["cell"]): (-(-r["data"] // BLOCK_ROWS) or 1, -(-r["queries"] // BLOCK_ROWS)) for r in large.toLocalIterator()}
+    blocks = spark.sparkContext.broadcast(grid)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for g, own in b.groupby("grp"):
-                tree, x, ids, vecs = shared.value[g], np.array([np.frombuffer(v) for v in own["vec"]]), own["rep"].to_numpy(), own["vec"].to_numpy()
-                for t in range(tables if tree.depth else 1):
-                    row, cell = tree.cells(x, t, WINDOW * tree.radius)
-                    home = np.zeros(len(x), dtype=np.int64)
-                    for d in range(tree.depth):
-                        home = 2 * home + (x @ tree.lines[t, d] > tree.cuts[t][d][home])
-                    yield pd.DataFrame({"grp": g, "tree": t, "cell": cell, "data": cell == home[row], "rep": ids[row], "vec": vecs[row]})
+                ids, vecs = own["rep"].to_numpy(), own["vec"].to_numpy()
+                for t, row, cell, at_home in visits(own, g):
+                    hot = np.array([(g, t, c) in blocks.value for c in cell.tolist()], dtype=bool) if blocks.value else np.zeros(len(cell), dtype=bool)
+                    row_, cell_, home_ = row[~hot], cell[~hot], at_home[~hot]
+                    yield pd.DataFrame({"grp": g, "tree": t, "cell": cell_, "block": 0, "data": home_, "asks": True, "rep": ids[row_], "vec": vecs[row_]})
+                    for r, c, own_cell in zip(row[hot], cell[hot].tolist(), at_home[hot]):
+                        d, q = blocks.value[g, t, c]
+                        h = int.from_bytes(hashlib.md5(str(ids[r]).encode()).digest()[:8])
+                        ask, lie = h % q, (h // q) % d if own_cell else -1
+                        # as a query in every block of vectors, as a vector in every block of queries
+                        at = [(x * q + ask, x == lie, True) for x in range(d)] + ([(lie * q + y, True, False) for y in range(q) if y != ask] if own_cell else [])
+                        yield pd.DataFrame(at, columns=["block", "data", "asks"]).assign(grp=g, tree=t, cell=c, rep=ids[r], vec=vecs[r])[["grp", "tree", "cell", "block", "data", "asks", "rep", "vec"]]
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = shared.value[key[0]]
+        tree = shared.value.get(key[0])
         rows = rows.sort_values("rep")
         q = np.array([np.frombuffer(v) for v in rows["vec"]])
-        is_data, ids = rows["data"].to_numpy(), rows["rep"].to_numpy()
+        is_data, asks, ids = rows["data"].to_numpy(), rows["asks"].to_numpy(), rows["rep"].to_numpy()
         x, x_ids = q[is_data], ids[is_data]
-        if not len(x):
+        if not len(x) or not asks.any():
             return pd.DataFrame({"grp": [], "rep": [], "near": [], "cosine": []})
         own = np.full(len(q), -1)
         own[is_data] = np.arange(len(x))
-        a, b, c = cell_neighbours(x, q, own, tree.counting, tree.radius, k)
-        return pd.DataFrame({"grp": key[0], "rep": ids[a], "near": x_ids[b], "cosine": c})
+        if tree is None:  # a small group, one cell
+            tree = Trees(x[:SAMPLE], len(x), len(x), 0, 7)
+        a, b, c = cell_neighbours(x, q[asks], own[asks], tree.counting, tree.radius, k)
+        return pd.DataFrame({"grp": key[0], "rep": ids[asks][a], "near": x_ids[b], "cosine": c})
 
-    placed = reps.select("grp", "rep", "vec").mapInPandas(place, "grp string, tree int, cell long, data boolean, rep long, vec binary")
-    near = placed.groupBy("grp", "tree", "cell").applyInPandas(search, "grp string, rep long, near long, cosine double")
-    # a pair found from one side is a candidate of the other side, too
-    ways = F.array(F.struct("rep", "near"), F.struct(F.col("near").alias("rep"), F.col("rep").alias("near")))
-    near = near.select("grp", "cosine", F.explode(ways).alias("w")).select("grp", "w.rep", "w.near", "cosine").distinct()
-    best = Window.partitionBy("grp", "rep").orderBy(F.desc("cosine"), "near")
-    near = near.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).select("grp", "rep", "near", "cosine")
-    return _of_members(members, reps, copies, near, k)
+    placed = reps.select("grp", "rep", "vec").mapInPandas(place, "grp string, tree int, cell long, block long, data boolean, asks boolean, rep long, vec binary")
+    return placed.groupBy("grp", "tree", "cell", "block").applyInPandas(search, "grp string, rep long, near long, cosine double")
 
 
 def _of_members(members: DataFrame, reps: DataFrame, copies: DataFrame, near: DataFrame, k: int) -> DataFrame:
