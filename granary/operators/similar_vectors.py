@@ -42,13 +42,13 @@ from granary.plans.lineage import materialize
 from granary.plans.skew import skew_join
 
 SAMPLE = 8192
-PROJECTIONS = 32
+PROJECTIONS = 16
 #: Vectors that lie in a query's window on this share of the arrays are verified: one as far as the window is wide does on 0.68 of them.
 COLLISIONS = 0.4
 #: A query visits the cells within this share of the sample's nearest distance around its projection.
-WINDOW = 0.8
+WINDOW = 0.6
 #: A window is widened by this factor.
-WIDER = 1.4
+WIDER = 2.0
 #: Beyond this share of verified pairs one matrix product is cheaper than single products.
 DENSE = 0.04
 #: Unit vectors are rounded to so many decimals, so that copies of other length or spelling become equal but for a few at a rounding edge.
