@@ -36,6 +36,12 @@ ROUTES: dict[str, list[str]] = {
     "reasoning": ["why", "explain", "how does", "what is", "understand", "difference between", "pros and cons", "purpose", "design decision", "trade.?off", "analyze", "evaluate", "infer", "deduce", "strategy", "approach", "advantage"],
 }
 
+#: Words that ask about several papers at once. Fixed values.
+COMPARISONS = ["compare", "vs", "versus", "difference between", "different", "contrast", "both", "all", "each", "multiple", "several"]
+#: Words of kinds of question, the first that is held counts; intents with the words before a symbol. Fixed values.
+KINDS = [("table|figure|chart", "Table"), ("equation|formula|mathematical", "Equation"), ("how many|what is the|number|count|percentage", "Numerical"), ("compare|difference|versus|vs", "Comparison"), ("why|how|explain|describe", "Reasoning")]
+INTENTS = {"definition": "where is(?: the)?", "callers": "(?:who|what) calls", "imports": "(?:who|what) imports", "comparison": "compare", "explanation": "explain how the"}
+
 
 def type_counts(question: Column) -> dict[str, Column]:
     """The number of pattern matches of each question type."""
@@ -52,11 +58,18 @@ def question_type(question: Column) -> Column:
 
 
 def route(question: Column) -> Column:
-    """(agent, score): the handler with the largest share of matching patterns; ties in the order given."""
+    """(agent, confidence): the handler with the largest share of matching patterns, ties in the order given, and its part of all shares.
+
+    A handler of under 0.6 gives way to ``reasoning``; ``code`` at 0.75 or more is final.
+    """
     q = F.lower(question)
     shares = {a: sum((q.rlike(rf"\b{p}\b").cast("int") for p in ps[1:]), q.rlike(rf"\b{ps[0]}\b").cast("int")) / len(ps) for a, ps in ROUTES.items()}
     most = F.greatest(*shares.values())
-    return F.struct(F.coalesce(*[F.when(s == most, F.lit(a)) for a, s in shares.items()]).alias("agent"), F.round(most, 6).alias("score"))
+    every = sum(list(shares.values())[1:], next(iter(shares.values())))
+    sure = F.when(every > 0, most / every).otherwise(0.0)
+    best = F.coalesce(*[F.when(s == most, F.lit(a)) for a, s in shares.items()])
+    agent = F.when((best == "code") & (sure >= 0.75), best).when(sure < 0.6, "reasoning").otherwise(best)
+    return F.struct(agent.alias("agent"), F.round(sure, 6).alias("confidence"))
 
 
 def type_score(kind: Column, chunk: Column, content: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Iterator
 
@@ -89,46 +88,3 @@ def sections(df: DataFrame, key: str, text: str, heading: Column | None = None)
     ls = ls.withColumn("h", is_head.cast("int")).withColumn("section", F.sum("h").over(w))
     head = F.coalesce(F.max(F.when(F.col("h") == 1, F.trim("line"))), F.lit("Body"))
     return ls.groupBy("key", "section").agg(head.alias("heading"), (F.min("n") + 1).alias("first_line"), (F.max("n") + 1).alias("last_line"), F.sum(F.length("line")).alias("chars")).filter("chars > 0")
-
-
-def code_facts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fact, name, parent, first_line, last_line): classes, functions, imports and calls of Python source.
-
-    ``parent`` is a class's bases, a function's class, an import's module or a call's enclosing function. A text that doesn't parse gives one
-    ``error`` row; null texts none.
-    """
-
-    def facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            return [("error", type(e).__name__, None, 0, 0)]
-        out: list[tuple[str, str, str | None, int, int]] = []
-        todo: list[tuple[ast.AST, str | None, str | None]] = [(tree, None, None)]
-        while todo:
-            node, cls, fn = todo.pop()
-            for child in ast.iter_child_nodes(node):
-                c, f = cls, fn
-                if isinstance(child, ast.ClassDef):
-                    bases = ",".join(ast.unparse(x) for x in child.bases)
-                    out.append(("class", child.name, bases or None, child.lineno, child.end_lineno or child.lineno))
-                    c = child.name
-                elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    out.append(("function", child.name, cls, child.lineno, child.end_lineno or child.lineno))
-                    f = f"{cls}.{child.name}" if cls else child.name
-                elif isinstance(child, ast.Import):
-                    out += [("import", a.name, a.name, child.lineno, child.lineno) for a in child.names]
-                elif isinstance(child, ast.ImportFrom):
-                    out += [("import", a.name, child.module, child.lineno, child.lineno) for a in child.names]
-                elif isinstance(child, ast.Call):
-                    out.append(("call", ast.unparse(child.func)[:200], fn or cls or "global", child.lineno, child.lineno))
-                todo.append((child, c, f))
-        return sorted(out, key=lambda r: (r[3], r[0], r[1]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, *f) for k, t in zip(b["k"], b["t"]) for f in facts(t)]
-            yield pd.DataFrame(rows, columns=["key", "fact", "name", "parent", "first_line", "last_line"])
-
-    rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL")
-    return rows.mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, fact string, name string, parent string, first_line int, last_line int")

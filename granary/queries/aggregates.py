@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
@@ -75,11 +75,13 @@ def e7_score_bands(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("metrics.grounding_score_percent")
     r = table(spark, d, "run_results", "metrics").select(s.alias("s")).filter(F.col("s").isNotNull() & ~F.isnan("s"))
     band = F.when(F.col("s") >= 90, "90-100").when(F.col("s") >= 80, "80-90").when(F.col("s") >= 70, "70-80").when(F.col("s") >= 60, "60-70").otherwise("under 60")
-    return r.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    g = r.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    every = F.sum("n").over(Window.partitionBy())  # of at most five bands
+    return g.withColumn("percent", F.round(100 * F.col("n") / every, 4))
 
 
 E7_SQL = """
-SELECT CASE WHEN s >= 90 THEN '90-100' WHEN s >= 80 THEN '80-90' WHEN s >= 70 THEN '70-80' WHEN s >= 60 THEN '60-70' ELSE 'under 60' END AS band, count(*) AS n
+SELECT CASE WHEN s >= 90 THEN '90-100' WHEN s >= 80 THEN '80-90' WHEN s >= 70 THEN '70-80' WHEN s >= 60 THEN '60-70' ELSE 'under 60' END AS band, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS percent
 FROM (SELECT metrics.grounding_score_percent AS s FROM run_results) WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY 1"""
 
 
@@ -107,17 +109,21 @@ SELECT question_id, count(*) AS runs, round(avg(metrics.semantic_similarity), 6)
 FROM run_results WHERE question_id IS NOT NULL AND metrics.semantic_similarity IS NOT NULL GROUP BY 1"""
 
 
+#: Frequent words that say nothing of a text. Fixed values.
+STOP = ["about", "after", "their", "there", "these", "those", "which", "while", "where", "would", "could", "should", "other", "under", "until", "before", "because", "through", "between", "against"]
+
+
 def e13_top_words(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents", "lang", "text").select(F.lower("lang").alias("lang"), F.explode(X.words(F.col("text"))).alias("word")).filter("lang IS NOT NULL AND length(word) > 4")
+    w = table(spark, d, "documents", "lang", "text").select(F.lower("lang").alias("lang"), F.explode(X.words(F.col("text"))).alias("word")).filter("lang IS NOT NULL AND length(word) > 4").filter(~F.col("word").isin(STOP))
     n = w.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     from granary.operators.relations import top_k
 
     return top_k(n, "lang", [F.desc("n"), F.asc("word")], 10).select("lang", "rank", "word", "n")
 
 
-E13_SQL = r"""
-WITH w AS (SELECT lower(lang) AS lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents),
-n AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL AND length(word) > 4 GROUP BY 1, 2)
+E13_SQL = rf"""
+WITH w AS (SELECT lower(lang) AS lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
+n AS (SELECT lang, word, count(*) AS n FROM w WHERE lang IS NOT NULL AND length(word) > 4 AND word NOT IN ({', '.join(repr(w) for w in STOP)}) GROUP BY 1, 2)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank, word, n FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 10"""
 
 
@@ -134,7 +140,7 @@ FROM retrieved_chunks WHERE question_id IS NOT NULL AND chunk_hash IS NOT NULL G
 
 def st1_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "run_results", "result_id", "run_name", "metrics").select("result_id", "run_name", F.col("metrics.semantic_similarity").alias("v")).filter("run_name IS NOT NULL")
-    return S.bootstrap_intervals(r, ["run_name"], "v", resamples=200).select("run_name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return S.bootstrap_intervals(r, ["run_name"], "v").select("run_name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def st2_signed_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -146,8 +152,9 @@ def st2_signed_rank(spark: SparkSession, d: str) -> DataFrame:
 ST2_SQL = f"""WITH {RUNS_SQL},
 p AS (SELECT round(a.semantic - b.semantic, 9) AS diff FROM (SELECT * FROM s WHERE side = 0) a JOIN (SELECT * FROM s WHERE side = 1) b USING (question_id)),
 r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2 AS r FROM p WHERE diff <> 0),
-w AS (SELECT count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus FROM r)
-SELECT 'semantic' AS metric, n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w WHERE n > 0"""
+w AS (SELECT count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus FROM r),
+z AS (SELECT 'semantic' AS metric, n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w WHERE n > 0)
+SELECT metric, n, w_plus, w_minus, z, round(least(1.0, ({' + '.join(f"{c} * pow(1 / (1 + {S.ERF_SCALE} * x), {i + 1})" for i, c in enumerate(S.ERF))}) * exp(-x * x)), 6) AS p FROM (SELECT *, abs(z) / sqrt(2) AS x FROM z)"""
 
 
 def st4_effect_size(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.operators import chunking as C
+from granary.operators import code_lines as L
 from granary.operators import graph as G
 from granary.queries.text_functions import sql_lines
 from granary.sources.tables import table
@@ -33,9 +34,39 @@ def i4_line_windows(spark: SparkSession, d: str) -> DataFrame:
     return C.windows(table(spark, d, "chunker", "item_id", "content"), "item_id", "content", 128, 16, by_blocks=False).withColumnRenamed("key", "item_id")
 
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return L.line_facts(table(spark, d, "chunker", "item_id", "content", "language"), "item_id", "content", "language")
+
+
 def i7_code_facts(spark: SparkSession, d: str) -> DataFrame:
-    code = table(spark, d, "chunker", "item_id", "content", "language").filter("language = 'python'")
-    return C.code_facts(code, "item_id", "content").withColumnRenamed("key", "item_id")
+    return _facts(spark, d).withColumnRenamed("key", "item_id")
+
+
+_Q = lambda p: "'" + p.replace("'", "''") + "'"
+_NAMES = lambda e: rf"list_filter(list_transform(string_split({e}, ','), lambda x: regexp_replace(trim(x), '\s+as\s+.*$', '')), lambda x: x <> '')"
+_G = lambda p: f"regexp_extract(s, {_Q(p)}, 1)"
+_FACTS = rf"""
+fl AS (SELECT item_id, lower(language) = 'python' AS py, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS s FROM (SELECT item_id, language, {sql_lines('content')} AS ls FROM chunker WHERE content IS NOT NULL AND lower(language) IN ('python', 'javascript', 'typescript'))),
+facts AS (
+  SELECT item_id, line, 'import' AS fact, x AS name, x AS target FROM (SELECT item_id, line, unnest(CASE WHEN py AND regexp_matches(s, {_Q(L.FROM)}) THEN list_transform({_NAMES(_G(L.FROM_NAMES))}, lambda x: {_G(L.FROM)} || '.' || x)
+      WHEN py AND regexp_matches(s, {_Q(L.IMPORT)}) THEN {_NAMES(_G(L.IMPORT))} WHEN NOT py THEN list_filter([{_G(L.JS_IMPORT)}, {_G(L.JS_REQUIRE)}], lambda x: x <> '') ELSE [] END) AS x FROM fl)
+  UNION ALL SELECT item_id, line, 'class', {_G(L.CLASS)}, NULL FROM fl WHERE {_G(L.CLASS)} <> ''
+  UNION ALL SELECT item_id, line, 'inherits', name, x FROM (SELECT item_id, line, {_G(L.CLASS)} AS name, unnest(CASE WHEN py THEN list_filter({_NAMES(_G(L.BASES))}, lambda x: NOT contains(x, '=')) ELSE list_filter([{_G(L.JS_BASE)}], lambda x: x <> '') END) AS x FROM fl)
+  UNION ALL SELECT item_id, line, 'function', {_G(L.FUNCTION)}, NULL FROM fl WHERE {_G(L.FUNCTION)} <> ''
+  UNION ALL SELECT item_id, line, 'call', NULL, x FROM (SELECT DISTINCT item_id, line, unnest(regexp_extract_all(s, {_Q(L.CALL)}, 1)) AS x FROM fl WHERE NOT regexp_matches(s, {_Q(L.DEFINES)})) WHERE x NOT IN ({', '.join(map(_Q, L.NO_CALLS))}))"""
+I7_SQL = f"WITH {_FACTS} SELECT item_id, line, fact, name, target FROM facts"
+
+
+def i8_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """What each window of 64 lines of a unit depends on."""
+    c = table(spark, d, "chunker", "item_id", "content").filter("content IS NOT NULL").select(F.col("item_id").alias("key"), F.size(X.lines(F.col("content"))).alias("n"))
+    w = c.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(56))).alias("piece")).select("key", "piece", (F.col("piece") + 1).alias("first_line"), (F.col("piece") + 64).alias("last_line"))
+    return L.dependencies(_facts(spark, d), w).withColumnRenamed("key", "item_id")
+
+
+I8_SQL = rf"""WITH {_FACTS}, w AS (SELECT item_id, unnest(range(0, len({sql_lines('content')}), 56)) AS piece FROM chunker WHERE content IS NOT NULL),
+r AS (SELECT item_id, piece, target, CASE fact WHEN 'import' THEN 1 WHEN 'inherits' THEN 2 ELSE 3 END AS r FROM w JOIN facts USING (item_id) WHERE line BETWEEN piece + 1 AND piece + 64 AND fact IN ('import', 'inherits', 'call'))
+SELECT item_id, piece, target, CASE min(r) WHEN 1 THEN 'imports' WHEN 2 THEN 'inherits' ELSE 'calls' END AS type FROM r GROUP BY 1, 2, 3"""
 
 
 def i9_headers(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +113,26 @@ SELECT pdf_filename, pick, section, rc_id FROM c WHERE contains(lower(section),
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return G.nodes_and_edges(table(spark, d, "chunker", "item_id", "file_path", "class_name", "function_name", "language"), "item_id")
+    units = table(spark, d, "chunker", "item_id", "file_path", "class_name", "function_name", "language")
+    facts = _facts(spark, d)
+    # a unit inherits what its own class does
+    own = units.select(F.col("item_id").alias("key"), "class_name")
+    facts = facts.join(own, "key").filter((F.col("fact") != "inherits") | (F.col("name") == F.col("class_name"))).drop("class_name")
+    whole = units.select(F.col("item_id").alias("key"), F.lit(0).alias("piece"), F.lit(1).alias("first_line"), F.lit(2**30).alias("last_line"))
+    needs = L.dependencies(facts, whole).select(F.col("key").alias("item_id"), "target", "type")
+    return G.nodes_and_edges(units, "item_id", needs)
 
 
-_GRAPH = """
+_GRAPH = f"""{_FACTS},
 u AS (SELECT item_id AS o, file_path AS f, class_name AS c, CASE WHEN function_name IS NULL THEN NULL WHEN class_name IS NULL THEN function_name ELSE class_name || '.' || function_name END AS fn, coalesce(language, 'unknown') AS language FROM chunker WHERE file_path IS NOT NULL),
 a AS (SELECT f AS id, 'File' AS type, language, o FROM u UNION ALL SELECT c, 'Class', language, o FROM u WHERE c IS NOT NULL UNION ALL SELECT fn, 'Function', language, o FROM u WHERE fn IS NOT NULL),
-nodes AS (SELECT id, type, language FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC, type DESC, language DESC) = 1),
-edges AS (SELECT DISTINCT src, dst, 'Uses' AS type FROM (SELECT f AS src, c AS dst FROM u WHERE c IS NOT NULL UNION ALL SELECT f, fn FROM u WHERE fn IS NOT NULL UNION ALL SELECT c, fn FROM u WHERE c IS NOT NULL AND fn IS NOT NULL))"""
+units AS (SELECT id, type, language FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC, type DESC, language DESC) = 1),
+needs AS (SELECT o, coalesce(fn, c, f) AS src, target AS dst, CASE min(CASE fact WHEN 'import' THEN 1 WHEN 'inherits' THEN 2 ELSE 3 END) WHEN 1 THEN 'Imports' WHEN 2 THEN 'Inherits' ELSE 'Calls' END AS type
+    FROM u JOIN facts ON o = item_id WHERE fact IN ('import', 'call') OR fact = 'inherits' AND name = c GROUP BY 1, 2, 3),
+nodes AS (SELECT * FROM units UNION ALL SELECT dst, CASE type WHEN 'Imports' THEN 'Module' WHEN 'Inherits' THEN 'Class' ELSE 'Function' END, 'unknown' FROM needs WHERE dst <> '' AND dst NOT IN (SELECT id FROM units) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY o, type) = 1),
+links AS (SELECT c AS src, f AS dst, 'Uses' AS type, o, 0 AS r FROM u WHERE c IS NOT NULL UNION ALL SELECT fn, f, 'Uses', o, 0 FROM u WHERE fn IS NOT NULL UNION ALL SELECT fn, c, 'Uses', o, 0 FROM u WHERE c IS NOT NULL AND fn IS NOT NULL
+    UNION ALL SELECT src, dst, type, o, 1 FROM needs WHERE dst <> ''),
+edges AS (SELECT src, dst, type FROM links QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY o DESC, r DESC, type DESC) = 1)"""
 
 
 def j1_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,11 +163,12 @@ J4_SQL = f"WITH {_GRAPH}, g AS (SELECT id FROM nodes WHERE type = 'File' AND lan
 
 
 def j5_users(spark: SparkSession, d: str) -> DataFrame:
-    return G.first_callers(_graph(spark, d)[1])
+    """Who calls, imports, inherits or uses each node: their number and the first twelve, by type of edge."""
+    return G.first_callers(_graph(spark, d)[1], by_type=True)
 
 
-J5_SQL = f"""WITH {_GRAPH}, r AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS r, count(*) OVER (PARTITION BY dst) AS n FROM edges)
-SELECT dst, max(n) AS n, string_agg(src, ', ' ORDER BY src) AS callers FROM r WHERE r <= 12 GROUP BY dst"""
+J5_SQL = f"""WITH {_GRAPH}, r AS (SELECT dst, type, src, row_number() OVER (PARTITION BY dst, type ORDER BY src) AS r, count(*) OVER (PARTITION BY dst, type) AS n FROM edges)
+SELECT dst, type, max(n) AS n, string_agg(src, ', ' ORDER BY src) AS callers FROM r WHERE r <= 12 GROUP BY dst, type"""
 
 
 def j6_graph_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +183,8 @@ QUERIES = {
     "i1_sections": (i1_sections, I1_SQL),
     "i3_block_windows": (i3_block_windows, None),
     "i4_line_windows": (i4_line_windows, None),
-    "i7_code_facts": (i7_code_facts, None),
+    "i7_code_facts": (i7_code_facts, I7_SQL),
+    "i8_dependencies": (i8_dependencies, I8_SQL),
     "i9_headers": (i9_headers, I9_SQL),
     "i10_fixed_windows": (i10_fixed_windows, I10_SQL),
     "i12_section_picks": (i12_section_picks, I12_SQL),

@@ -18,12 +18,14 @@ COMPARING = ["compared", "versus", "vs", "higher", "lower", "more", "less", "bet
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of answers that claim something, long ones cut at semicolons, with their type."""
+    """Sentences of answers that claim something, long ones cut at semicolons or before a last clause, with their type."""
     r = table(spark, d, "run_results", "result_id", "answer").filter("answer IS NOT NULL")
     s = r.select("result_id", F.posexplode(X.sentences(F.regexp_replace("answer", r"(?m)^[0-9]+\.[ \t]+", ""))).alias("n", "s")).withColumn("s", F.trim("s"))
     short = (F.length("s") < 60) & X.any_of([F.contains(F.lower("s"), F.lit(g)) for g in GENERIC])
     s = s.filter((F.length("s") >= 15) & ~short & ~F.col("s").endswith(":") & F.col("s").rlike("[a-zA-Z]{3,}") & (F.col("s") != F.upper("s")))
-    parts = F.when((F.length("s") > 100) & F.contains("s", F.lit(";")), F.filter(F.transform(F.split("s", ";"), F.trim), lambda p: F.length(p) >= 20)).otherwise(F.array("s"))
+    parts = F.when((F.length("s") > 100) & F.contains("s", F.lit(";")), F.filter(F.transform(F.split("s", ";"), F.trim), lambda p: F.length(p) >= 20))
+    ands = F.transform(F.split("s", ", and "), F.trim)
+    parts = parts.when((F.length("s") > 120) & F.contains("s", F.lit(", and ")) & F.forall(ands, lambda p: F.length(p) >= 20), ands).otherwise(F.array("s"))
     c = s.select("result_id", "n", F.posexplode(parts).alias("m", "claim"))
     compares = X.any_of([F.contains(F.lower("claim"), F.lit(w)) for w in COMPARING])
     kind = F.when(F.col("claim").rlike("[0-9]") & (F.length("claim") > 20), "numerical").when(compares, "comparative").otherwise("factual")
@@ -36,7 +38,8 @@ _CMP = " OR ".join(f"contains(lower(claim), '{w}')" for w in COMPARING)
 _CLAIMS = rf"""
 r AS (SELECT result_id, string_split(regexp_replace(regexp_replace(answer, '(?m)^[0-9]+\.[ \t]+', '', 'g'), '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM run_results WHERE answer IS NOT NULL),
 s AS (SELECT result_id, unnest(range(len(p))) AS n, trim(unnest(p)) AS s FROM r),
-f AS (SELECT result_id, n, CASE WHEN length(s) > 100 AND contains(s, ';') THEN list_filter(list_transform(string_split(s, ';'), lambda x: trim(x)), lambda x: length(x) >= 20) ELSE [s] END AS parts
+f AS (SELECT result_id, n, CASE WHEN length(s) > 100 AND contains(s, ';') THEN list_filter(list_transform(string_split(s, ';'), lambda x: trim(x)), lambda x: length(x) >= 20)
+        WHEN length(s) > 120 AND contains(s, ', and ') AND len(list_filter(string_split(s, ', and '), lambda x: length(trim(x)) < 20)) = 0 THEN list_transform(string_split(s, ', and '), lambda x: trim(x)) ELSE [s] END AS parts
     FROM s WHERE length(s) >= 15 AND NOT (length(s) < 60 AND ({_GEN})) AND NOT s LIKE '%:' AND regexp_matches(s, '[a-zA-Z]{{3,}}') AND s <> upper(s)),
 e AS (SELECT result_id, n, unnest(range(len(parts))) AS m, unnest(parts) AS claim FROM f),
 claims AS (SELECT result_id, row_number() OVER (PARTITION BY result_id ORDER BY n, m) AS position, claim,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import questions as Q
 from granary.functions import text as X
 from granary.operators.relations import first_per_hash, keep_unless_empty, top_k
 from granary.queries.relations import RUNS_SQL, _latest_runs
@@ -50,21 +51,54 @@ SELECT run_name, count(*) AS answers, count(*) FILTER (metrics.verdict = 'Incorr
 FROM run_results WHERE run_name IS NOT NULL AND metrics.verdict IS NOT NULL GROUP BY 1"""
 
 
+#: What is cut from the begin and end of a symbol, and what divides its words. Fixed values.
+PREFIXES = ["base", "abstract", "default", "generic", "simple"]
+SUFFIXES = ["base", "impl", "manager", "handler", "factory"]
+DIVIDERS = ["_", "-", ".", " "]
+
+
+def _symbols(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunker", "function_name", "class_name").select(F.explode(F.array("function_name", "class_name")).alias("symbol")).filter("symbol IS NOT NULL").distinct()
+
+
 def h6_symbol_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The ways to look for a symbol: in lower case, without dividers, without what begins or ends many names, and in the other number."""
     s = F.col("symbol")
-    low = F.lower(s)
-    stem = F.regexp_replace(low, r"^(get_|set_|is_|has_|make_)|(_fn|_func|_method|_class|_handler)$", "")
-    variants = F.array(low, F.replace(low, F.lit("_"), F.lit("")), F.replace(low, F.lit("_"), F.lit(" ")), stem, F.regexp_replace(low, "ies$", "y"), F.regexp_replace(low, "es$", ""), F.regexp_replace(low, "s$", ""), F.concat(low, F.lit("s")))
-    names = table(spark, d, "chunker", "function_name", "class_name").select(F.explode(F.array("function_name", "class_name")).alias("symbol")).filter("symbol IS NOT NULL").distinct()
-    return names.select("symbol", F.explode(F.array_distinct(variants)).alias("variant")).filter("variant <> ''")
+    low, n = F.lower(s), F.length(s)
+    cut = lambda a, b: F.lower(F.substr(s, F.lit(a), n - b))
+    ways = [low]
+    for x in DIVIDERS:
+        ways += [F.when(F.contains(s, F.lit(x)), F.replace(low, F.lit(x), F.lit(y))) for y in ("", " ")]
+    ways += [F.when(F.startswith(low, F.lit(x)), cut(len(x) + 1, len(x))) for x in PREFIXES] + [F.when(F.endswith(low, F.lit(x)), cut(1, len(x))) for x in SUFFIXES]
+    ways += [F.when(F.endswith(s, F.lit("s")), cut(1, 1)), F.when(F.endswith(s, F.lit("es")), cut(1, 2)), F.when(F.endswith(s, F.lit("ies")), F.concat(F.substr(s, F.lit(1), n - 3), F.lit("y"))), F.when(~F.endswith(s, F.lit("s")), F.concat(s, F.lit("s")))]
+    return _symbols(spark, d).select("symbol", F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias("variant")).filter("variant <> ''")
 
 
-H6_SQL = r"""
+H6_SQL = f"""
 WITH n AS (SELECT DISTINCT symbol, lower(symbol) AS l FROM (SELECT function_name AS symbol FROM chunker UNION ALL SELECT class_name FROM chunker) WHERE symbol IS NOT NULL),
-v AS (SELECT symbol, unnest(list_distinct([l, replace(l, '_', ''), replace(l, '_', ' '), regexp_replace(l, '^(get_|set_|is_|has_|make_)|(_fn|_func|_method|_class|_handler)$', '', 'g'), regexp_replace(l, 'ies$', 'y'), regexp_replace(l, 'es$', ''), regexp_replace(l, 's$', ''), l || 's'])) AS variant FROM n)
+v AS (SELECT DISTINCT symbol, unnest([l, {', '.join(f"CASE WHEN contains(symbol, '{x}') THEN replace(l, '{x}', '{y}') END" for x in DIVIDERS for y in ('', ' '))},
+    {', '.join(f"CASE WHEN starts_with(l, '{x}') THEN substring(l, {len(x) + 1}) END" for x in PREFIXES)}, {', '.join(f"CASE WHEN ends_with(l, '{x}') THEN substring(l, 1, length(l) - {len(x)}) END" for x in SUFFIXES)},
+    CASE WHEN ends_with(symbol, 's') THEN substring(l, 1, length(l) - 1) END, CASE WHEN ends_with(symbol, 'es') THEN substring(l, 1, length(l) - 2) END, CASE WHEN ends_with(symbol, 'ies') THEN substring(symbol, 1, length(symbol) - 3) || 'y' END, CASE WHEN NOT ends_with(symbol, 's') THEN symbol || 's' END]) AS variant FROM n)
 SELECT symbol, variant FROM v WHERE variant <> ''"""
 
 
+def l7_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Where a symbol occurs: its repositories by name, the first twelve of them, and how many there are."""
+    units = table(spark, d, "chunker", "repository", "file_path", "class_name", "function_name").filter("repository IS NOT NULL")
+    base = F.regexp_extract("file_path", r"([^/\\]*)$", 1)
+    named = units.select("repository", F.explode(F.array_compact(F.array(F.lower(base), F.lower("class_name"), F.lower("function_name")))).alias("variant")).distinct()
+    hits = h6_symbol_variants(spark, d).join(named, "variant").select("symbol", "repository").distinct()
+    first = top_k(hits, "symbol", [F.asc("repository")], 12, "r").groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list("repository")), ", ").alias("repositories"))  # twelve
+    return hits.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).join(first, "symbol")
+
+
+L7_SQL = rf"""
+WITH sv AS ({H6_SQL.strip()}),
+u AS (SELECT DISTINCT repository, unnest([lower(regexp_extract(file_path, '([^/\\]*)$', 1)), lower(class_name), lower(function_name)]) AS variant FROM chunker WHERE repository IS NOT NULL),
+h AS (SELECT DISTINCT symbol, repository FROM sv JOIN u USING (variant)), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY repository) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM h)
+SELECT symbol, max(n) AS n, string_agg(repository, ', ' ORDER BY repository) AS repositories FROM r WHERE r <= 12 GROUP BY 1"""
+
+
 def h25_norms(spark: SparkSession, d: str) -> DataFrame:
     """The length of every vector and its cosine with the vector of the next id."""
     e = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
@@ -147,8 +181,7 @@ SELECT symbol, item_id, row_number() OVER (PARTITION BY symbol ORDER BY item_id)
 
 def l9_kinds_of_question(spark: SparkSession, d: str) -> DataFrame:
     q = F.lower(F.coalesce("question", F.lit("")))
-    by_word = [("table|figure|chart", "Table"), ("equation|formula|mathematical", "Equation"), ("how many|what is the|number|count|percentage", "Numerical"), ("compare|difference|versus|vs", "Comparison"), ("why|how|explain|describe", "Reasoning")]
-    kind = F.coalesce(*[F.when(q.rlike(p), v) for p, v in by_word], F.lit("Definition"))
+    kind = F.coalesce(*[F.when(q.rlike(p), v) for p, v in Q.KINDS], F.lit("Definition"))
     return table(spark, d, "run_results", "result_id", "question").select("result_id", kind.alias("kind"))
 
 
@@ -245,6 +278,7 @@ QUERIES = {
     "c10_chunk_projection": (c10_chunk_projection, C10_SQL),
     "e8_failures": (e8_failures, E8_SQL),
     "h6_symbol_variants": (h6_symbol_variants, H6_SQL),
+    "l7_repositories": (l7_repositories, L7_SQL),
     "h25_norms": (h25_norms, H25_SQL),
     "h32_missing_metrics": (h32_missing_metrics, H32_SQL),
     "k7_pipeline": (k7_pipeline, K7_SQL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.operators import relations as R
+from granary.operators import statistics as S
 from granary.sources.tables import table
 
 
@@ -58,7 +59,9 @@ def c8_paper_match(spark: SparkSession, d: str) -> DataFrame:
     key = lambda c: F.lower(F.replace(F.regexp_replace(c, r"(?i)\.pdf$", ""), F.lit("_"), F.lit(" ")))
     r = table(spark, d, "run_results", "question_id", "paper").filter("paper IS NOT NULL AND question_id IS NOT NULL").select("question_id", key("paper").alias("asked")).distinct()
     c = table(spark, d, "retrieved_chunks", "rc_id", "question_id", "pdf_filename").filter("pdf_filename IS NOT NULL").select("rc_id", "question_id", key("pdf_filename").alias("found"))
-    return c.join(r, "question_id").filter(F.col("found").contains(F.col("asked")) | F.col("asked").contains(F.col("found"))).select("rc_id", "question_id").distinct()
+    # names are matched once for each question, not once for each of its chunks
+    named = c.select("question_id", "found").distinct().join(r, "question_id").filter(F.col("found").contains(F.col("asked")) | F.col("asked").contains(F.col("found")))
+    return c.join(named.select("question_id", "found").distinct(), ["question_id", "found"]).select("rc_id", "question_id").distinct()
 
 
 C8_SQL = r"""
@@ -102,7 +105,7 @@ SELECT rc_id, collection_id FROM retrieved_chunks c JOIN p ON p.file = lower(c.p
 
 
 def _latest_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The two runs with the most questions, one row a question: its mean metrics."""
+    """The runs with even and those with odd numbers, one row a question each: its mean metrics."""
     r = table(spark, d, "run_results", "run_name", "question_id", "metrics").filter("run_name IS NOT NULL AND question_id IS NOT NULL")
     m = r.groupBy("run_name", "question_id").agg(F.avg("metrics.semantic_similarity").alias("semantic"), F.avg("metrics.grounding_score_percent").alias("grounding"), F.avg("metrics.concept_coverage_percent").alias("coverage"))
     half = F.pmod(F.regexp_extract("run_name", r"([0-9]+)$", 1).cast("int"), F.lit(2))
@@ -217,8 +220,8 @@ QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, evidence_so
 
 def f7_seeded_order(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "run_results", "result_id", "run_name").filter("run_name IS NOT NULL")
-    w = Window.partitionBy("run_name").orderBy(F.md5(F.concat(F.col("result_id").cast("string"), F.lit("/42"))))
-    return b.select("run_name", "result_id", F.row_number().over(w).alias("position"))
+    b = b.withColumn("h", F.md5(F.concat(F.col("result_id").cast("string"), F.lit("/42"))))
+    return S.running_total(b, ["run_name"], ["h", "result_id"], F.lit(1), "n").select("run_name", "result_id", (F.col("n") + 1).alias("position"))
 
 
 F7_SQL = "SELECT run_name, result_id, row_number() OVER (PARTITION BY run_name ORDER BY md5(CAST(result_id AS VARCHAR) || '/42')) AS position FROM run_results WHERE run_name IS NOT NULL"

@@ -14,6 +14,8 @@ from granary.queries.text_functions import sql_chunk_type
 from granary.sources.tables import table
 
 EVERY = 20
+#: Characters of an excerpt in a prompt. Fixed value.
+EXCERPT = 4_000
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -119,18 +121,17 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 def k8_reference_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Tables and figures that a question's chunks mention, with the first three chunks of the same question that are of such a type and hold the mention."""
     c = table(spark, d, "retrieved_chunks", "rc_id", "question_id", "chunk_text").filter("question_id IS NOT NULL AND chunk_text IS NOT NULL")
-    m = c.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("chunk_text"), F.lit(r"\b(?:table|figure)\s*[0-9]+\b"), F.lit(0)))).alias("reference")).distinct()
-    typed = c.withColumn("type", X.chunk_type(F.col("chunk_text"))).filter(F.col("type").isin("TABLE", "MIXED", "EQUATION")).select("question_id", "rc_id", F.lower("chunk_text").alias("t"))
-    hits = m.join(typed, "question_id").filter(F.contains("t", F.col("reference")))
-    w = Window.partitionBy("question_id", "reference").orderBy("rc_id")
-    return hits.withColumn("position", F.row_number().over(w)).filter("position <= 3").select("question_id", "reference", "position", "rc_id")
+    mentions = F.array_distinct(F.regexp_extract_all(F.lower("chunk_text"), F.lit(r"\b(?:table|figure)\s*[0-9]+\b"), F.lit(0)))
+    # a chunk that holds a mention makes one itself, so both sides meet by the mention
+    held = c.select("question_id", "rc_id", F.explode(mentions).alias("reference"), "chunk_text")
+    held = held.filter(X.chunk_type(F.col("chunk_text")).isin("TABLE", "MIXED", "EQUATION")).select("question_id", "reference", "rc_id")
+    return top_k(held, ["question_id", "reference"], [F.asc("rc_id")], 3, "position")
 
 
 K8_SQL = rf"""
 WITH c AS (SELECT rc_id, question_id, lower(chunk_text) AS t, {sql_chunk_type('chunk_text')} AS type FROM retrieved_chunks WHERE question_id IS NOT NULL AND chunk_text IS NOT NULL),
-m AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(t, '\b(?:table|figure)\s*[0-9]+\b')) AS reference FROM c)
-SELECT question_id, reference, row_number() OVER (PARTITION BY question_id, reference ORDER BY rc_id) AS position, rc_id FROM m JOIN c USING (question_id) WHERE type IN ('TABLE', 'MIXED', 'EQUATION') AND contains(t, reference)
-QUALIFY row_number() OVER (PARTITION BY question_id, reference ORDER BY rc_id) <= 3"""
+m AS (SELECT DISTINCT question_id, rc_id, unnest(regexp_extract_all(t, '\b(?:table|figure)\s*[0-9]+\b')) AS reference FROM c WHERE type IN ('TABLE', 'MIXED', 'EQUATION'))
+SELECT question_id, reference, row_number() OVER (PARTITION BY question_id, reference ORDER BY rc_id) AS position, rc_id FROM m QUALIFY row_number() OVER (PARTITION BY question_id, reference ORDER BY rc_id) <= 3"""
 
 
 def k9_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -181,6 +182,18 @@ def k11_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("asked_id", F.coalesce("hit_id", "near_id", F.lit(-1)).alias("hit_id"), F.when(F.col("hit_id").isNotNull(), "exact").when(F.col("near_id").isNotNull(), "similar").otherwise("miss").alias("kind"))
 
 
+K11_SQL = f"""
+WITH r AS (SELECT cache_id AS id, repo_id, lower(trim(query_text)) AS key, embedding AS j FROM semantic_cache),
+a AS (SELECT id, repo_id, CASE WHEN json_valid(j) AND json_type(j) = 'ARRAY' AND json_array_length(j) = 64 THEN CAST(j AS JSON) END AS j FROM r WHERE repo_id IS NOT NULL),
+u AS (SELECT id, repo_id, CAST(j AS DOUBLE[]) AS v FROM a WHERE j IS NOT NULL AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) = 0),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM u WHERE len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT a.id AS asked_id, min(b.id) AS hit_id FROM r a JOIN r b ON a.repo_id = b.repo_id AND a.key = b.key AND a.id <> b.id WHERE a.id % {EVERY} = 0 GROUP BY 1),
+s AS (SELECT a.id AS asked_id, b.id AS near_id, round(list_dot_product(a.v, b.v) / (a.l * b.l), 9) AS c FROM n a JOIN n b ON a.repo_id = b.repo_id AND a.id <> b.id WHERE a.id % {EVERY} = 0),
+m AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY asked_id ORDER BY c DESC, near_id) = 1) WHERE c >= 0.95)
+SELECT r.id AS asked_id, coalesce(hit_id, near_id, -1) AS hit_id, CASE WHEN hit_id IS NOT NULL THEN 'exact' WHEN near_id IS NOT NULL THEN 'similar' ELSE 'miss' END AS kind
+FROM r LEFT JOIN e ON e.asked_id = r.id LEFT JOIN m ON m.asked_id = r.id WHERE r.id % {EVERY} = 0"""
+
+
 def k12_prompt_keys(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "run_results", "question", "run_name").filter("question IS NOT NULL AND run_name IS NOT NULL").distinct()
     return r.select(F.sha2(F.concat_ws("::", "question", "run_name"), 256).alias("prompt_key"))
@@ -195,8 +208,19 @@ def l1_routes(spark: SparkSession, d: str) -> DataFrame:
 
 _SHARES = ", ".join("(" + " + ".join(rf"CAST(regexp_matches(q, '\b{p}\b') AS INTEGER)" for p in ps) + f") / {len(ps)} AS s_{a}" for a, ps in Q.ROUTES.items())
 L1_SQL = f"""
-WITH s AS (SELECT result_id, {_SHARES} FROM (SELECT result_id, lower(question) AS q FROM run_results WHERE question IS NOT NULL))
-SELECT result_id, CASE greatest(s_code, s_data, s_reasoning) WHEN s_code THEN 'code' WHEN s_data THEN 'data' ELSE 'reasoning' END AS agent, round(greatest(s_code, s_data, s_reasoning), 6) AS score FROM s"""
+WITH s AS (SELECT result_id, {_SHARES} FROM (SELECT result_id, lower(question) AS q FROM run_results WHERE question IS NOT NULL)),
+b AS (SELECT result_id, greatest(s_code, s_data, s_reasoning) AS m, s_code + s_data + s_reasoning AS t, CASE greatest(s_code, s_data, s_reasoning) WHEN s_code THEN 'code' WHEN s_data THEN 'data' ELSE 'reasoning' END AS a FROM s),
+c AS (SELECT result_id, a, CASE WHEN t > 0 THEN m / t ELSE 0.0 END AS c FROM b)
+SELECT result_id, CASE WHEN a = 'code' AND c >= 0.75 THEN 'code' WHEN c < 0.6 THEN 'reasoning' ELSE a END AS agent, round(c, 6) AS confidence FROM c"""
+
+
+def l8_corpus_mode(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a question is about several papers, by the words in it, and so searched in the whole corpus."""
+    several = F.lower("question").rlike("|".join(Q.COMPARISONS))
+    return table(spark, d, "run_results", "result_id", "question").filter("question IS NOT NULL").select("result_id", F.when(several, "corpus").otherwise("single").alias("mode"))
+
+
+L8_SQL = "SELECT result_id, CASE WHEN regexp_matches(lower(question), 'compare|vs|versus|difference between|different|contrast|both|all|each|multiple|several') THEN 'corpus' ELSE 'single' END AS mode FROM run_results WHERE question IS NOT NULL"
 
 
 def l2_question_types(spark: SparkSession, d: str) -> DataFrame:
@@ -212,8 +236,7 @@ SELECT result_id, {_KIND} AS type, round(CASE WHEN greatest({', '.join(f'c_{t}'
 def l5_intents(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("question")
     sym = r"(?i){} [`'\"]?([\p{{L}}\p{{N}}_./:-]+)"
-    rules = {"definition": "where is(?: the)?", "callers": "(?:who|what) calls", "imports": "(?:who|what) imports", "comparison": "compare", "explanation": "explain how the"}
-    hit = F.coalesce(*[F.when(q.rlike(sym.format(p)), F.struct(F.lit(k).alias("intent"), F.regexp_extract(q, sym.format(p), 1).alias("symbol"))) for k, p in rules.items()])
+    hit = F.coalesce(*[F.when(q.rlike(sym.format(p)), F.struct(F.lit(k).alias("intent"), F.regexp_extract(q, sym.format(p), 1).alias("symbol"))) for k, p in Q.INTENTS.items()])
     return table(spark, d, "run_results", "result_id", "question").select("result_id", hit.alias("h")).filter("h IS NOT NULL").select("result_id", "h.intent", "h.symbol")
 
 
@@ -222,7 +245,7 @@ def _intent_sql(k: str, p: str) -> str:
 
 
 L5_SQL = "SELECT result_id, h.intent AS intent, h.symbol AS symbol FROM (SELECT result_id, CASE " + " ".join(
-    _intent_sql(k, p) for k, p in {"definition": "where is(?: the)?", "callers": "(?:who|what) calls", "imports": "(?:who|what) imports", "comparison": "compare", "explanation": "explain how the"}.items()
+    _intent_sql(k, p) for k, p in Q.INTENTS.items()
 ) + " END AS h FROM run_results) WHERE h IS NOT NULL"
 
 
@@ -255,16 +278,17 @@ def m2_context_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Numbered, cited excerpts of each question's five best chunks as one prompt block."""
     c = table(spark, d, "retrieved_chunks").filter("question_id IS NOT NULL AND chunk_text IS NOT NULL")
     c = top_k(c, "question_id", [F.desc_nulls_last("similarity"), F.asc("rc_id")], 5)
-    head = F.concat(F.lit("[Excerpt "), F.col("rank").cast("string"), F.lit("] "), X.citation(F.col("paper_title"), F.col("pdf_filename"), F.col("page")))
-    body = F.when(F.length("chunk_text") > 400, F.concat(F.substring("chunk_text", 1, 400), F.lit(" [truncated]"))).otherwise(F.col("chunk_text"))
+    head = F.concat(F.lit("[EXCERPT "), F.col("rank").cast("string"), F.lit("] "), X.citation(F.col("paper_title"), F.col("pdf_filename"), F.col("page")))
+    text = F.trim("chunk_text")
+    body = F.when(F.length(text) > EXCERPT, F.concat(F.substring(text, 1, EXCERPT), F.lit("\n...[truncated]"))).otherwise(text)
     blocks = c.select("question_id", F.struct("rank", F.concat(head, F.lit("\n"), body).alias("b")).alias("s")).groupBy("question_id").agg(F.array_sort(F.collect_list("s")).alias("bs"))  # five a question
     return blocks.select("question_id", F.array_join(F.transform("bs", lambda s: s["b"]), "\n\n").alias("context"))
 
 
-M2_SQL = """
+M2_SQL = f"""
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC NULLS LAST, rc_id) AS rank FROM retrieved_chunks WHERE question_id IS NOT NULL AND chunk_text IS NOT NULL),
-b AS (SELECT question_id, rank, '[Excerpt ' || CAST(rank AS VARCHAR) || '] ' || coalesce(nullif(paper_title, ''), nullif(pdf_filename, ''), 'Unknown Paper') || ', ' || CASE WHEN page IS NULL THEN 'Page unknown' ELSE 'Page ' || CAST(page AS VARCHAR) END
-    || chr(10) || CASE WHEN length(chunk_text) > 400 THEN substring(chunk_text, 1, 400) || ' [truncated]' ELSE chunk_text END AS b FROM c WHERE rank <= 5)
+b AS (SELECT question_id, rank, '[EXCERPT ' || CAST(rank AS VARCHAR) || '] ' || coalesce(nullif(paper_title, ''), nullif(pdf_filename, ''), 'Unknown Paper') || ', ' || CASE WHEN page IS NULL THEN 'Page unknown' ELSE 'Page ' || CAST(page AS VARCHAR) END
+    || chr(10) || CASE WHEN length(trim(chunk_text)) > {EXCERPT} THEN substring(trim(chunk_text), 1, {EXCERPT}) || chr(10) || '...[truncated]' ELSE trim(chunk_text) END AS b FROM c WHERE rank <= 5)
 SELECT question_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY 1"""
 
 QUERIES = {
@@ -277,10 +301,11 @@ QUERIES = {
     "k8_reference_chunks": (k8_reference_chunks, K8_SQL),
     "k9_fallback": (k9_fallback, K9_SQL),
     "k10_centroid_rank": (k10_centroid_rank, K10_SQL),
-    "k11_cache_lookup": (k11_cache_lookup, None),
+    "k11_cache_lookup": (k11_cache_lookup, K11_SQL),
     "k12_prompt_keys": (k12_prompt_keys, K12_SQL),
     "l1_routes": (l1_routes, L1_SQL),
     "l2_question_types": (l2_question_types, L2_SQL),
+    "l8_corpus_mode": (l8_corpus_mode, L8_SQL),
     "l5_intents": (l5_intents, L5_SQL),
     "m1_context": (m1_context, M1_SQL),
     "m2_context_blocks": (m2_context_blocks, M2_SQL),

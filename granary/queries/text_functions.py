@@ -66,13 +66,13 @@ H5_SQL = r"SELECT item_id, lower(trim(replace(file_path, '\', '/'))) AS path FRO
 
 
 def h8_file_names(spark: SparkSession, d: str) -> DataFrame:
-    s = F.regexp_replace(F.translate(F.col("paper_title"), '<>:"/\\|?*', ""), r"\s+", "_")
-    return table(spark, d, "expanded_evidence", "ev_id", "paper_title").select("ev_id", F.when(F.length(s) > 40, F.concat(F.substring(s, 1, 37), F.lit("..."))).otherwise(s).alias("file_name"))
+    s = F.trim(F.regexp_replace(F.translate(F.col("paper_title"), '<>:"/\\|?*', ""), r"\s+", " "))
+    return table(spark, d, "expanded_evidence", "ev_id", "paper_title").select("ev_id", F.when(F.length(s) > 120, F.concat(F.substring(s, 1, 117), F.lit("..."))).otherwise(s).alias("file_name"))
 
 
 H8_SQL = r"""
-SELECT ev_id, CASE WHEN length(s) > 40 THEN substring(s, 1, 37) || '...' ELSE s END AS file_name
-FROM (SELECT ev_id, regexp_replace(translate(paper_title, '<>:"/\|?*', ''), '\s+', '_', 'g') AS s FROM expanded_evidence)"""
+SELECT ev_id, CASE WHEN length(s) > 120 THEN substring(s, 1, 117) || '...' ELSE s END AS file_name
+FROM (SELECT ev_id, trim(regexp_replace(translate(paper_title, '<>:"/\|?*', ''), '\s+', ' ', 'g')) AS s FROM expanded_evidence)"""
 
 
 def h9_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -104,12 +104,22 @@ SELECT rc_id, coalesce(nullif(paper_title, ''), nullif(pdf_filename, ''), 'Unkno
 
 
 def h12_sources_json(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "semantic_cache", "cache_id", "sources")
-    items = F.try_parse_json("sources").cast("string")
-    return c.select("cache_id", F.when(items.isNull(), F.lit(-1)).otherwise(F.coalesce(F.json_array_length("sources"), F.lit(-1))).alias("n_sources"))
-
-
-H12_SQL = "SELECT cache_id, CASE WHEN json_valid(sources) AND json_type(sources) = 'ARRAY' THEN CAST(json_array_length(sources) AS BIGINT) ELSE -1 END AS n_sources FROM semantic_cache"
+    """The number of sources of each cached answer and how it was read: as it stands, after repair (fences, comments, trailing commas), or by its quoted strings alone."""
+    raw = F.trim(F.coalesce("sources", F.lit("")))
+    fixed = F.regexp_replace(raw, r"^```[a-z]*\s*|\s*```$", "")
+    fixed = F.regexp_replace(F.regexp_replace(fixed, r"//[^\n\"]*(\n|$)", "$1"), r",\s*([\]}])", "$1")
+    size = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(F.trim(c), F.lit("[")), F.json_array_length(c))
+    quoted = F.size(F.regexp_extract_all(raw, F.lit(r'"([^"]+)"'), F.lit(1)))
+    n = F.coalesce(size(raw), size(fixed), quoted)
+    how = F.when(size(raw).isNotNull(), "parsed").when(size(fixed).isNotNull(), "repaired").when(quoted > 0, "salvaged").otherwise("none")
+    return table(spark, d, "semantic_cache", "cache_id", "sources").select("cache_id", n.alias("n_sources"), how.alias("how"))
+
+
+H12_SQL = r"""
+WITH r AS (SELECT cache_id, trim(coalesce(sources, '')) AS r FROM semantic_cache),
+f AS (SELECT cache_id, r, regexp_replace(regexp_replace(regexp_replace(r, '^```[a-z]*\s*|\s*```$', '', 'g'), '//[^\n"]*(\n|$)', '\1', 'g'), ',\s*([\]}])', '\1', 'g') AS f FROM r),
+n AS (SELECT cache_id, CASE WHEN json_valid(r) AND json_type(r) = 'ARRAY' THEN json_array_length(r) END AS a, CASE WHEN json_valid(f) AND json_type(f) = 'ARRAY' THEN json_array_length(f) END AS b, len(regexp_extract_all(r, '"([^"]+)"', 1)) AS c FROM f)
+SELECT cache_id, CAST(coalesce(a, b, c) AS BIGINT) AS n_sources, CASE WHEN a IS NOT NULL THEN 'parsed' WHEN b IS NOT NULL THEN 'repaired' WHEN c > 0 THEN 'salvaged' ELSE 'none' END AS how FROM n"""
 
 
 def h13_references(spark: SparkSession, d: str) -> DataFrame:

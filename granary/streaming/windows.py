@@ -33,35 +33,52 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str, delay: str) -
     return w.agg(F.count(F.lit(1)).alias("events")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a Parquet table in the shared folder, and return it.
+def run_to_table(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
+    """Run a stream over all that is there, into a Parquet table, and return it.
 
-    The checkpoint lies beside the table, so a restart goes on where the last run ended.
+    Table and checkpoint lie in the folder ``place``; run again with the same one, a stream goes on where its last run ended. Without one
+    a new folder below the shared folder is taken, and everything is read.
     """
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/granary-stream-{uuid.uuid4().hex}"
+    place = place or f"{shared_folder(spark)}/granary-stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{place}/table").option("checkpointLocation", f"{place}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/table")
 
 
-def latest_per_key(stream: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """The last row of every key of a stream, as micro-batches fold into a table: each batch merges its own last rows with the table's."""
+def _states(spark: SparkSession, place: str) -> list[int]:
+    """The numbers of the batches whose states were written whole below ``place``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path(place))] if fs.exists(path(place)) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{place}/{n}/_SUCCESS")))
+
+
+def latest_per_key(stream: DataFrame, key: str, order: str, columns: list[str], place: str | None = None) -> DataFrame:
+    """The last row of every key of a stream, as micro-batches fold into a table: each batch merges its own last rows with the table's.
+
+    The states lie beside the checkpoint in ``place``, one for each batch, so a run that is resumed there starts from the last one, and a batch that is
+    run twice starts from the state before it. The states before the last two are deleted.
+    """
     spark = stream.sparkSession
-    place = f"{shared_folder(spark)}/granary-latest-{uuid.uuid4().hex}"
+    place = place or f"{shared_folder(spark)}/granary-latest-{uuid.uuid4().hex}"
     fields = [key, order, *columns]
     best = lambda df: df.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("s")).select(key, "s.*")
-    state = {"at": None}
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
         rows = best(batch.select(*fields))
-        if state["at"] is not None:
-            rows = best(rows.unionByName(batch.sparkSession.read.parquet(state["at"])))
-        rows.write.mode("overwrite").parquet(f"{place}/{epoch}")
-        state["at"] = f"{place}/{epoch}"
+        before = [n for n in _states(session, f"{place}/states") if n < epoch]
+        if before:
+            rows = best(rows.unionByName(session.read.parquet(f"{place}/states/{before[-1]}")))
+        rows.write.mode("overwrite").parquet(f"{place}/states/{epoch}")
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for n in before[:-1]:
+            path(f"{place}/states/{n}").getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path(f"{place}/states/{n}"), True)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    if state["at"] is None:
+    states = _states(spark, f"{place}/states")
+    if not states:
         return spark.createDataFrame([], stream.select(*fields).schema)
-    return spark.read.parquet(state["at"]).select(*fields)
+    return spark.read.parquet(f"{place}/states/{states[-1]}").select(*fields)

@@ -1,6 +1,7 @@
 """Retrieval, metric, chunking, graph and upkeep operators against small references."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import text as X
 from granary.operators import answer_metrics as A
 from granary.operators import chunking as C
+from granary.operators import code_lines as L
 from granary.operators import graph as G
 from granary.operators import incremental as N
 from granary.operators import ir_metrics as M
@@ -16,6 +18,7 @@ from granary.operators import relations as R
 from granary.operators import retrieval as K
 from granary.operators import statistics as S
 from granary.operators.chunking import pack, structural_blocks
+from granary.streaming import windows as W
 
 
 def test_ranking_metrics(spark):
@@ -51,7 +54,7 @@ def test_bootstrap_agrees_with_the_exact_one(spark):
     values = rng.normal(10, 2, 400).tolist()
     df = spark.createDataFrame([("g", i, x) for i, x in enumerate(values)] + [("g", 999, math.nan)], "g string, i int, v double")
     b = S.bootstrap_intervals(df, ["g"], "v", resamples=400).first()
-    low, high = S.bootstrap_interval(values, 400)
+    low, high = exact_interval(values, 400)
     assert b.n == 400 and abs(b.low - low) < 0.08 and abs(b.high - high) < 0.08
 
 
@@ -86,6 +89,62 @@ def test_fusion_is_symmetric(spark):
     assert K.reciprocal_rank_fusion([a, b], 5).collect() == K.reciprocal_rank_fusion([b, a], 5).collect()
 
 
+def exact_interval(values, resamples, level=0.95, seed=42):
+    """The bootstrap interval of a short list."""
+    rng = random.Random(seed)
+    means = sorted(sum(rng.choices(values, k=len(values))) / len(values) for _ in range(resamples))
+    a = (1 - level) / 2
+    return means[math.floor(a * resamples)], means[math.ceil((1 - a) * resamples) - 1]
+
+
+def test_running_totals_and_ranks(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), rnd.randrange(40) / 8, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, i long").repartition(5)
+    got = {r.i: r.n for r in S.running_total(df, ["g"], ["v", "i"], F.lit(2), "n").collect()}
+    for g in "ab":
+        own = sorted((v, i) for x, v, i in rows if x == g)
+        assert all(got[i] == 2 * n for n, (_, i) in enumerate(own))
+    ranks = {r.i: r.r for r in S.average_ranks(df, ["g"], "v", "r").collect()}
+    for g, v, i in rows[:60]:
+        own = sorted(x for h, x, _ in rows if h == g)
+        assert ranks[i] == own.index(v) + (own.count(v) + 1) / 2
+    assert S.running_total(df.limit(0), ["g"], ["v", "i"], F.lit(1), "n").count() == 0
+
+
+def test_two_sided_p(spark):
+    import statistics
+
+    for z in (0.0, -0.5, 1.96, 3.3, -5.0):
+        got = spark.range(1).select(S.two_sided_p(F.lit(z))).first()[0]
+        assert abs(got - 2 * (1 - statistics.NormalDist().cdf(abs(z)))) < 1e-6
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "k string, v int, x string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("k string, v int, x string").parquet(f"{tmp_path}/in")
+    put([("a", 1, "p"), ("b", 5, "q")])
+    assert sorted(map(tuple, W.latest_per_key(read(), "k", "v", ["x"], f"file://{tmp_path}/latest").collect())) == [("a", 1, "p"), ("b", 5, "q")]
+    assert W.run_to_table(read(), place=f"file://{tmp_path}/table").count() == 2
+    put([("a", 2, "r"), ("b", 4, "s"), ("c", 1, "t")])
+    want = [("a", 2, "r"), ("b", 5, "q"), ("c", 1, "t")]
+    for _ in range(2):  # once with new rows, once without
+        assert sorted(map(tuple, W.latest_per_key(read(), "k", "v", ["x"], f"file://{tmp_path}/latest").collect())) == want
+        assert W.run_to_table(read(), place=f"file://{tmp_path}/table").count() == 5
+
+
+def test_only_written_rounds_are_deleted(spark, tmp_path):
+    from granary.plans.lineage import discard, materialize
+
+    spark.range(3).write.parquet(f"{tmp_path}/granary-mine/part")
+    discard(spark.read.parquet(f"{tmp_path}/granary-mine/part"))
+    assert spark.read.parquet(f"{tmp_path}/granary-mine/part").count() == 3
+    round_ = materialize(spark.range(3).toDF("id"))
+    discard(round_)
+    with pytest.raises(Exception):
+        round_.count()
+
+
 def test_keep_unless_empty(spark):
     df = spark.createDataFrame([("q", 1, True), ("q", 2, False), ("r", 3, False), ("r", 4, None)], "q string, i int, k boolean")
     assert sorted(r.i for r in R.keep_unless_empty(df, "q", F.col("k")).collect()) == [1, 3, 4]
@@ -108,21 +167,39 @@ def test_structural_blocks_and_types(spark):
     assert [r[0] for r in df.select(X.chunk_type(F.col("t"))).collect()] == ["TABLE", "HYPERPARAMETERS", "TEXT", "TEXT", "TEXT"]
 
 
-def test_code_facts(spark):
-    src = "import os\nfrom a import b\nclass A(B):\n    def f(self):\n        return g(1)\ndef h():\n    os.x()\n"
-    df = spark.createDataFrame([(1, src), (2, "def ("), (3, None)], "id long, t string")
-    got = {(r.key, r.fact, r.name, r.parent) for r in C.code_facts(df, "id", "t").collect()}
-    assert got == {(1, "import", "os", "os"), (1, "import", "b", "a"), (1, "class", "A", "B"), (1, "function", "f", "A"), (1, "call", "g", "A.f"), (1, "function", "h", None), (1, "call", "os.x", "h"), (2, "error", "SyntaxError", None)}
+def test_line_facts(spark):
+    python = "import os, sys as s\nfrom a.c import b, d as e\nclass A(B, metaclass=M):\n    def f(self):\n        return g(1) + if_(2)\n# h(3)\nasync def k():\n    os.x()\n"
+    script = "import {a} from 'm/n';\nconst q = require('r');\nclass C extends D.E {\n}\nfunction fn(x) {\n  if (x) { y.z(x) }\n}\n"
+    df = spark.createDataFrame([(1, python, "Python"), (2, script, "javascript"), (3, None, "python"), (4, "import os", None), (5, "", "python")], "id long, t string, lang string")
+    got = {(r.key, r.line, r.fact, r.name, r.target) for r in L.line_facts(df, "id", "t", "lang").collect()}
+    assert {x[1:] for x in got if x[0] == 1} == {
+        (1, "import", "os", "os"), (1, "import", "sys", "sys"), (2, "import", "a.c.b", "a.c.b"), (2, "import", "a.c.d", "a.c.d"), (3, "class", "A", None), (3, "inherits", "A", "B"),
+        (4, "function", "f", None), (5, "call", None, "g"), (5, "call", None, "if_"), (7, "function", "k", None), (8, "call", None, "os.x"),
+    }
+    assert {x[1:] for x in got if x[0] == 2} == {(1, "import", "m/n", "m/n"), (2, "import", "r", "r"), (2, "call", None, "require"), (3, "class", "C", None), (3, "inherits", "C", "D.E"), (5, "function", "fn", None), (6, "call", None, "y.z")}
+    assert {x[0] for x in got} == {1, 2}
+
+
+def test_dependencies_by_line_range(spark):
+    facts = spark.createDataFrame([(1, 1, "import", "x", "x"), (1, 5, "call", None, "x"), (1, 6, "call", None, "y"), (1, 9, "inherits", "A", "y"), (2, 1, "call", None, "z")], "key long, line int, fact string, name string, target string")
+    pieces = spark.createDataFrame([(1, 0, 1, 6), (1, 1, 6, 9), (3, 0, 1, 9)], "key long, piece int, first_line int, last_line int")
+    assert {(r.key, r.piece, r.target, r.type) for r in L.dependencies(facts, pieces).collect()} == {(1, 0, "x", "imports"), (1, 0, "y", "calls"), (1, 1, "y", "inherits")}
 
 
 def test_graph(spark):
     units = spark.createDataFrame([(1, "a.py", "A", "f", "python"), (2, "a.py", None, "g", None), (3, "b.js", None, "g", "javascript")], "o long, file_path string, class_name string, function_name string, language string")
     nodes, edges = G.nodes_and_edges(units, "o")
-    assert {(r.src, r.dst) for r in edges.collect()} == {("a.py", "A"), ("a.py", "A.f"), ("A", "A.f"), ("a.py", "g"), ("b.js", "g")}
+    assert {(r.src, r.dst) for r in edges.collect()} == {("A", "a.py"), ("A.f", "a.py"), ("A.f", "A"), ("g", "a.py"), ("g", "b.js")}
     seeds = spark.createDataFrame([(1, "g")], "q long, id string")
     assert {r.id for r in G.neighbours(edges, seeds, "q").collect()} == {"a.py", "b.js"}
     n, e = G.pruned(nodes, edges, F.col("id") == "a.py")
-    assert n.count() == 4 and {(r.src, r.dst) for r in e.collect()} == {("A", "A.f"), ("b.js", "g")}
+    assert n.count() == 4 and {(r.src, r.dst) for r in e.collect()} == {("A.f", "A"), ("g", "b.js")}
+    needs = spark.createDataFrame([(1, "os.path", "imports"), (1, "A", "calls"), (3, "g", "calls"), (3, "A.f", "inherits"), (9, "nobody", "calls")], "o long, target string, type string")
+    nodes, edges = G.nodes_and_edges(units, "o", needs)
+    got = {(r.src, r.dst): r.type for r in edges.collect()}
+    assert got == {("A", "a.py"): "Uses", ("A.f", "a.py"): "Uses", ("A.f", "A"): "Calls", ("g", "a.py"): "Uses", ("g", "b.js"): "Uses", ("A.f", "os.path"): "Imports", ("g", "g"): "Calls", ("g", "A.f"): "Inherits"}
+    assert {(r.id, r.type) for r in nodes.collect()} == {("a.py", "File"), ("b.js", "File"), ("A", "Class"), ("A.f", "Function"), ("g", "Function"), ("os.path", "Module")}
+    assert {(r.dst, r.type, r.callers) for r in G.first_callers(edges, by_type=True).filter("type = 'Calls'").collect()} == {("A", "Calls", "A.f"), ("g", "Calls", "g")}
 
 
 def test_upkeep(spark):
