@@ -29,6 +29,7 @@ BLOCK = 2_000
 LANDING = 10
 #: More targets than this are refused, as one row for each is broadcast.
 SOURCES = 100_000
+PARTITIONS = 4_096
 _EPS = 1e-9
 
 
@@ -85,12 +86,9 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 def sized_documents(docs: DataFrame, doc_id: str, text: str, source: str, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens): every document with its source, without case and padding, and its tokens."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.select(F.struct(F.col(f"`{doc_id}`").cast(kind).alias("doc_id"), F.lower(F.trim(F.col(f"`{source}`"))).alias("source")).alias("k"), F.col(f"`{text}`").alias("text"))
-    # the key travels with the count, so the texts are neither shuffled nor joined again
-    keyed = keyed.select(F.to_json("k").alias("k"), "text")
-    counted = with_token_counts(keyed, "k", "text", path)
-    return counted.select(F.from_json("key", f"doc_id {kind}, source string").alias("k"), "tokens").select("k.doc_id", "k.source", "tokens")
+    keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.trim(F.col(f"`{source}`"))).alias("source"), F.col(f"`{text}`").alias("text"))
+    # the keys travel with the count, so the texts are neither shuffled nor joined again
+    return with_token_counts(keyed, ["doc_id", "source"], "text", path)
 
 
 def mix_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -125,7 +123,8 @@ def cube_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
     done: list[DataFrame] = []
     turn = 0
     blocks = lambda n: F.ceil(n / BLOCK)
-    most = state.agg(F.max("left")).first()[0] or 0
+    most, rows_left = state.agg(F.coalesce(F.max("left"), F.lit(0)), F.count(F.lit(1))).first()
+
     def flier(n: int):
         def fly(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
             b = b.sort_values("doc_id", kind="stable").reset_index(drop=True)
@@ -137,12 +136,14 @@ def cube_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
     while most:
         blocked = state.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + turn)), F.greatest(blocks(F.col("left")), F.lit(1)).cast("long")))
+        # blocks are small in bytes and dear in time: so many partitions as there are blocks, which adaptive execution leaves alone
+        blocked = blocked.repartition(min(PARTITIONS, 1 + rows_left // BLOCK), "source", "block")
         flown = materialize(blocked.groupBy("source", "block").applyInPandas(flier(turn), schema))
         done.append(flown.filter("p = 0 OR p = 1"))
         undecided = flown.filter("p > 0 AND p < 1")
         counts = undecided.groupBy("source").agg(F.count(F.lit(1)).alias("left"))
         state = undecided.join(F.broadcast(counts), "source")  # one row a target
-        most = counts.agg(F.max("left")).first()[0] or 0
+        most, rows_left = counts.agg(F.coalesce(F.max("left"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
         turn += 1
     if not done:
         return state.select("doc_id", "source", "tokens", F.col("base").alias("uses")).limit(0)

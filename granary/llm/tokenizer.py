@@ -15,22 +15,27 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoding(path: str = VOCABULARY):
-    """The encoder of the rank file at ``path``."""
+def encoding(ranks: bytes):
+    """The encoder of a rank file's content."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("granary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    mergeable = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("granary", pat_str=SPLIT, mergeable_ranks=mergeable, special_tokens={})
+
 
+def with_token_counts(df: DataFrame, keep: list[str], text: str, path: str = VOCABULARY) -> DataFrame:
+    """(*keep, tokens): the tokens of every text, 0 of a null one.
 
-def with_token_counts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
-    """(key, tokens): the tokens of every text, 0 of a null one."""
+    The vocabulary (a megabyte) is read by the driver and broadcast, so executors need no file.
+    """
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(shared.value)
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "tokens": [0 if t is None else len(enc.encode_ordinary(t)) for t in b["text"]]})
+            yield b[keep].assign(tokens=[0 if t is None else len(enc.encode_ordinary(t)) for t in b["__text"]])
 
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInPandas(count, f"key {df.schema[key].dataType.simpleString()}, tokens long")
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInPandas(count, f"{kinds}, tokens long")
