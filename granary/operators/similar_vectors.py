@@ -242,14 +242,20 @@ def similar_vectors(vectors: DataFrame, k: int = 10, cell_rows: int = 4096, tabl
         some = reps if passes == 1 else reps.filter(turn == n)
         found = _searched(some, trees if passes == 1 else trees.filter(turn == n), k, tables)
         near = found if near is None else near.unionByName(found)
-    # a pair found from one side is a candidate of the other side, too
+    # a vector among another's best is a candidate of that other's side, too
+    near = materialize(_merged(near, k))
     ways = F.array(F.struct("rep", "near"), F.struct(F.col("near").alias("rep"), F.col("rep").alias("near")))
-    near = near.select("grp", "cosine", F.explode(ways).alias("w")).groupBy("grp", "w.rep", "w.near").agg(F.max("cosine").alias("cosine"))
-    best = Window.partitionBy("grp", "rep").orderBy(F.desc("cosine"), "near")
-    near = near.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).select("grp", "rep", "near", "cosine")
+    near = _merged(near.select("grp", "cosine", F.explode(ways).alias("w")).select("grp", "w.rep", "w.near", "cosine"), k)
     return _of_members(keys, classes.select("grp", "vkey", "rep"), copies, materialize(near), k)
 
 
+def _merged(near: DataFrame, k: int) -> DataFrame:
+    """(grp, rep, near, cosine): the ``k`` best of all found, in one shuffle by vector; a pair found twice counts once."""
+    near = near.repartition("grp", "rep").groupBy("grp", "rep", "near").agg(F.max("cosine").alias("cosine"))
+    best = Window.partitionBy("grp", "rep").orderBy(F.desc("cosine"), "near")
+    return near.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k).drop("__r")
+
+
 def _searched(reps: DataFrame, trees: DataFrame, k: int, tables: int) -> DataFrame:
     """(grp, rep, near, cosine): the ``k`` best of each cell that a vector visits. The trees are broadcast; groups without any are one cell."""
     spark = reps.sparkSession
