@@ -468,7 +468,7 @@ def _starts_sentence(text: str, at: int) -> bool:
 
 
 def corpus_statistics(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The vocabulary (word, n), the repeated lines (paper, line) of single papers and of several (null paper), and (paper, offset) of page numbers.
+    """The vocabulary (word, n), (paper, line) of lines that are repeated in the paper or in several papers, and (paper, offset) of page numbers.
 
     ``texts`` has paper, page and text, and section if sections are known: their names aren't headers. Counts are made in every task first, then summed by a shuffle.
     """
@@ -510,12 +510,13 @@ def corpus_statistics(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         names = texts.select("section").filter("section IS NOT NULL").distinct().select(F.pandas_udf(lambda c: c.map(skeleton), "string")("section").alias("line"))
         edge = edge.join(names, "line", "left_anti")
     edge = materialize(edge)
-    wide = edge.groupBy("line").agg(F.count(F.lit(1)).alias("papers")).filter(F.col("papers") >= HEADED_PAPERS).select(F.lit(None).cast("string").alias("paper"), "line")
-    own = edge.filter(F.col("pages") >= HEADED_PAGES).select("paper", "line")
+    wide = edge.groupBy("line").agg(F.count(F.lit(1)).alias("papers")).filter(F.col("papers") >= HEADED_PAPERS).select("line")
+    # of the lines of several papers each paper gets those that it has itself
+    heads = edge.filter(F.col("pages") >= HEADED_PAGES).select("paper", "line").unionByName(edge.join(wide, "line", "left_semi").select("paper", "line")).distinct()
     number = counted.filter("kind = 'p'").groupBy("paper", F.col("key").cast("int").alias("offset")).agg(F.countDistinct("n").alias("pages"))
     every = counted.filter("kind = 'p'").groupBy("paper").agg(F.countDistinct("n").alias("all_pages"))
     number = number.join(every, "paper").filter((F.col("pages") >= NUMBERED_PAGES) & (2 * F.col("pages") > F.col("all_pages"))).select("paper", "offset")
-    return materialize(words.join(far, "word", "left_anti")), materialize(own.unionByName(wide)), number
+    return materialize(words.join(far, "word", "left_anti")), materialize(heads), number
 
 
 def _asked(text: str, common: frozenset[str]) -> set[str]:
@@ -562,12 +563,8 @@ def _judged(texts: DataFrame, papers: DataFrame, repair: bool) -> DataFrame:
     vocabulary, heads, numbers = corpus_statistics(texts.filter("text IS NOT NULL"))
     whole = vocabulary.count() <= MAX_WORDS
     shared = spark.sparkContext.broadcast(frozenset(r["word"] for r in (vocabulary if whole else vocabulary.orderBy(F.desc("n"), "word").limit(MAX_WORDS)).select("word").collect()))
-    wide = heads.filter("paper IS NULL").agg(F.sum(F.length("line")).alias("size"), F.collect_set("line").alias("lines")).first()
-    if (wide["size"] or 0) > _BROADCAST_BYTES:
-        raise ValueError("more lines are repeated across papers than may be broadcast")
-    everywhere = spark.sparkContext.broadcast(frozenset(wide["lines"]))
     info = papers.select(F.col("paper_title").alias("paper"), "authors").filter("paper IS NOT NULL").groupBy("paper").agg(F.max("authors").alias("authors"))
-    info = info.join(heads.filter("paper IS NOT NULL").groupBy("paper").agg(F.collect_set("line").alias("lines")), "paper", "full")
+    info = info.join(heads.groupBy("paper").agg(F.collect_set("line").alias("lines")), "paper", "full")
     info = materialize(info.join(numbers.groupBy("paper").agg(F.collect_set("offset").alias("offsets")), "paper", "full"))
     size = info.agg(F.sum(F.length("paper") + F.coalesce(F.length("authors"), F.lit(0)) + F.coalesce(F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)))).first()[0] or 0
     # only texts of several lines have headers
@@ -597,8 +594,7 @@ def _judged(texts: DataFrame, papers: DataFrame, repair: bool) -> DataFrame:
                 if p is None:
                     if len(known) > 50_000:
                         known.clear()
-                    own = frozenset(lines if lines is not None else ())
-                    p = known[key] = Paper(paper, authors, own | everywhere.value if own else everywhere.value, frozenset(offsets if offsets is not None else ()))
+                    p = known[key] = Paper(paper, authors, frozenset(lines if lines is not None else ()), frozenset(offsets if offsets is not None else ()))
                 at = None if page is None or page != page else int(page)
                 if facts and facts[0] is not None:
                     j.told(facts[0])
