@@ -1,5 +1,7 @@
 """Keyword lists, links and tags against prose in several languages."""
 
+import cProfile
+import pstats
 import random
 
 import pytest
@@ -110,3 +112,21 @@ def test_regular_gaps_over_long_spans():
     text = " ".join(" ".join(k if rnd.random() < 0.9 else f"filler{rnd.randint(0, 10**6)}" for k in keys) + " " + " ".join(f"x{rnd.randint(0, 10**6)}y" for _ in range(rnd.randint(3, 5))) for _ in range(30))
     n, spam, why = word_labels(text)
     assert spam > 0.5 * n
+
+
+def test_words_take_no_calls_of_their_own():
+    text = "\n".join([PROSE * 3, " ".join(KEYS * 5), GERMAN, ", ".join(NOUNS)] * 20)
+    words, _, _ = word_labels(text)
+    profile = cProfile.Profile()
+    profile.runcall(word_labels, text)
+    assert pstats.Stats(profile).total_calls < words / 4  # 5.2 a word where each was looked up and counted by itself
+
+
+def test_texts_in_company_are_judged_as_alone(spark):
+    rnd = random.Random(5)
+    parts = [PROSE, GERMAN, FINNISH, JAPANESE, PHRASE, "", "...", "!", " ".join(KEYS), ", ".join(NOUNS), "```\ncode here\n", "| a | b |\n", "#x #y #z", "https://x.test/a www.y.test", "Smith, J. On stones. 2004. https://x.test/4.pdf"]
+    texts = ["\n".join(rnd.choices(parts, k=rnd.choice([0, 1, 2, 3]))) * rnd.choice([1, 1, 2, 6]) for _ in range(900)]
+    alone = [(i, *word_labels(t)) for i, t in enumerate(texts)]
+    expected = {(i, n, spam, max(why, key=lambda k: (why[k], k))) for i, n, spam, why in alone if spam > 0.5 * n and (n >= 20 or why.get("links", 0) >= 5)}
+    got = keyword_spam(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text").collect()
+    assert len(expected) > 50 and len(got) == len(expected) and {tuple(r) for r in got} == expected
